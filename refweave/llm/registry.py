@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, linededup, mixing
+from . import chat, decontaminate, linededup, mixing, nearjoin
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
     "op4_chat_formatting": chat.op4,
+    "op5_decontamination": decontaminate.op5,
     "op8_source_mixing": mixing.op8,
+    "op9_ngram_jaccard_join": nearjoin.op9,
 }
 
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
 }
