@@ -56,3 +56,19 @@ def pick(df: DataFrame, by: str, per_class: int, seed: int) -> DataFrame:
         if value is not None:
             chance = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(chance)
     return df.where(uniform(seed, F.col("doc_id")) < chance)
+
+
+def labels_of(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label): one row per id; null ids and labels go, and of contradicting labels the greater counts."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, per_class: int, max_chars: int, seed: int):
+    """(texts, labels, sizes): a sample to learn from, on the driver, of about ``per_class`` documents of each label, and the numbers of
+    labelled rows by label. Only ids outside the held-out fold, and texts of at most ``max_chars``; so it is bounded whatever the input."""
+    known = labels_of(labels, column).where(bucket(F.col("doc_id"), folds) != fold)
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    drawn = cut(pick(known, "label", per_class, seed))
+    rows = docs.select("doc_id", "text").join(sized(drawn), "doc_id").where(F.length("text") <= max_chars).select("doc_id", "text", "label").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the same order at every run
+    return rows.column("text"), rows.column("label").to_numpy(), sizes

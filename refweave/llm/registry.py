@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, mixing, nearjoin
+from . import chat, decontaminate, linededup, mixing, nearjoin, quality, rules, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
+    "op2_quality_rules": rules.op2,
     "op4_chat_formatting": chat.op4,
     "op5_decontamination": decontaminate.op5,
+    "op6_quality_classifier": quality.op6,
+    "op7_toxicity": toxicity.op7,
     "op8_source_mixing": mixing.op8,
     "op9_ngram_jaccard_join": nearjoin.op9,
 }

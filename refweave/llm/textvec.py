@@ -33,6 +33,8 @@ LOWER_VALUE = BYTE_VALUE.copy()
 LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of terms: all ASCII but letters and digits.
+NOT_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -75,9 +77,9 @@ def pieces(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20
 class Words:
     """Words of a piece: ``start``, ``end`` (byte positions), ``of`` (n + 1 word offsets of the texts), ``hash`` when asked for."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, value: np.ndarray | None = BYTE_VALUE):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, value: np.ndarray | None = BYTE_VALUE, space: np.ndarray = SPACE):
         self.raw, self.offsets = raw, offsets
-        inside = ~SPACE[raw]
+        inside = ~space[raw]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
@@ -99,6 +101,16 @@ class Words:
     def text_index(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
+    def characters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all code points in words: byte position, position after it, and how many more code points its word has."""
+        at = np.flatnonzero(self.inside & ((self.raw & 0xC0) != 0x80))
+        word = np.searchsorted(self.start, at, "right") - 1
+        after = np.empty_like(at)
+        after[:-1] = at[1:]
+        ends = np.searchsorted(at, self.end) - 1
+        after[ends] = self.end
+        return at, after, ends[word] - np.arange(len(at))
+
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-word windows that lie in one text, and the index of each window's first word."""
         h = self.hash
