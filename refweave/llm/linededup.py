@@ -14,6 +14,8 @@ from .common import SPACES, cut, row_key, sized, table
 MIN_SITES = 8
 #: 2 ** 12 registers: a standard error of 1.6 %.
 LG_REGISTERS = 12
+#: Numbers (keys and positions of removed lines) up to which they are broadcast; beyond that texts are joined to them by shuffle.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def near_band(min_sites: int, lg_registers: int = LG_REGISTERS) -> float:
@@ -61,7 +63,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool =
     if keep_first:
         here = F.col("_first")
         hits = hits.where(~((F.col("_k1") == here["_k1"]) & (F.col("_k2") == here["_k2"]) & (F.col("_pos") == here["_pos"]) & F.col("doc_id").eqNullSafe(here["doc_id"])))
-    dropped = hits.groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_dropped"))
+    dropped = cut(hits.groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_dropped")))
+    if (dropped.agg(F.sum(F.size("_dropped") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
+        dropped = F.broadcast(dropped)
     names = [c for c in docs.columns if c not in ("n_removed", "_k1", "_k2")]
     keyed = docs.select(*names, *row_key(F.col("doc_id"), F.col("text")))
     joined = keyed.join(dropped, ["_k1", "_k2"], "left")
