@@ -16,14 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there. A lost executor costs nothing that was written.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set only where none is named, as in tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir. A temporary one is set only where none
+    is named, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there. A lost executor costs nothing that was written."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
