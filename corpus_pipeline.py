@@ -24,7 +24,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     lines. n_chars follows the text."""
     cleaned = linededup.dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(SPACES)) == "")
-    return cleaned.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return cleaned.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[c for c in docs.columns if c in cleaned.columns and c != "n_removed"])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ class Network:
         total = np.add.reduceat(np.exp(logs) * share[:, None], first, axis=0) if len(number) else logs
         p = total
         best = total.argmax(axis=1) if len(total) else np.zeros(0, int)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, p.max(axis=1) / p.sum(axis=1), 0.0) if len(p) else np.zeros(0)
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, p.max(axis=1) / np.maximum(p.sum(axis=1), 1e-300), 0.0) if len(p) else np.zeros(0)
 
 
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
