@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import base, reports  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
 FLAGSHIP = "a1_type_histogram"

@@ -16,7 +16,8 @@ def ref(kind: str, key) -> F.Column:
 
 
 def entity_graph(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
-    """(row, id, type, text, refs). lineitem keys are order * 10 + line number; row is the id."""
+    """(row, id, type, text, refs). lineitem keys are order * 10 + line number, of which the table has repeats: the greatest
+    (part, supplier, price) stands for the key, as the last definition of an id does. row is the id."""
     c = F.col
     shapes = {
         "region": (c("r_regionkey"), c("r_name"), []),
@@ -31,7 +32,11 @@ def entity_graph(spark: SparkSession, sf_dir: str, kinds: list[str] | None = Non
     for kind in kinds or shapes:
         key, text, refs = shapes[kind]
         id_ = ref(kind, key)
-        part = table(spark, sf_dir, kind).select(
+        rows = table(spark, sf_dir, kind)
+        if kind == "lineitem":
+            last = F.max(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")).alias("_last")
+            rows = rows.groupBy("l_orderkey", "l_linenumber").agg(last).select("l_orderkey", "l_linenumber", "_last.*")
+        part = rows.select(
             id_.alias("row"), id_.alias("id"), F.lit(kind).alias("type"), text.alias("text"), (F.array(*[ref(k, v) for k, v in refs]) if refs else F.array().cast("array<bigint>")).alias("refs")
         )
         out = part if out is None else out.unionByName(part)
@@ -46,6 +51,6 @@ UNION ALL SELECT {3 * KIND} + c_custkey, 'customer', c_mktsegment, [{2 * KIND} +
 UNION ALL SELECT {4 * KIND} + s_suppkey, 'supplier', s_name, [{2 * KIND} + s_nationkey] FROM supplier
 UNION ALL SELECT {5 * KIND} + p_partkey, 'part', p_brand, []::BIGINT[] FROM part
 UNION ALL SELECT {6 * KIND} + o_orderkey, 'orders', o_orderpriority, [{3 * KIND} + o_custkey] FROM orders
-UNION ALL SELECT {7 * KIND} + l_orderkey * 10 + l_linenumber, 'lineitem', l_returnflag, [{6 * KIND} + l_orderkey, {5 * KIND} + l_partkey, {4 * KIND} + l_suppkey] FROM lineitem)"""
+UNION ALL SELECT {7 * KIND} + l_orderkey * 10 + l_linenumber, 'lineitem', l_returnflag, [{6 * KIND} + l_orderkey, {5 * KIND} + l_partkey, {4 * KIND} + l_suppkey] FROM (SELECT l_orderkey, l_linenumber, unnest(max(struct_pack(l_partkey, l_suppkey, l_extendedprice, l_returnflag))) FROM lineitem GROUP BY 1, 2))"""
 
 REFS = "refs AS (SELECT id AS src, unnest(refs) AS dst, unnest(range(0, len(refs))) AS pos FROM ents)"
