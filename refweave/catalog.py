@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import base, graphs, joins, reports  # noqa: F401
+from .queries import base, geometry, graphs, joins, reports  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

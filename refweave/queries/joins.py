@@ -273,8 +273,8 @@ def u9_x12_not_exactly_once(spark, d):
 # Policies
 
 
-@query("""SELECT c_custkey AS part, coalesce(CASE WHEN c_acctbal > 9000 THEN 1.0 END, CASE WHEN n_regionkey = 1 THEN 2.0 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 3.0 END, 4.0) AS linear,
-coalesce(CASE WHEN c_acctbal > 9500 THEN 0.1 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.3 END, 0.5) AS angular FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+@query("""SELECT c_custkey AS part, coalesce(CASE WHEN c_acctbal > 9000 THEN 1.0 END, CASE WHEN n_regionkey = 1 THEN 2.0 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 3.0 END, 4.0)::DOUBLE AS linear,
+coalesce(CASE WHEN c_acctbal > 9500 THEN 0.1 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.3 END, 0.5)::DOUBLE AS angular FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def p1_settings_by_precedence(spark, d):
     """Base, then segment, then nation, then the customer's own: the last layer that says anything wins, setting by setting."""
     base = table(spark, d, "customer").select(c("c_custkey").alias("part"), c("c_nationkey").alias("asset"), c("c_mktsegment").alias("kind"), F.lit(4.0).alias("linear"), F.lit(0.5).alias("angular"))

@@ -259,7 +259,7 @@ SELECT l_orderkey AS mesh, count(*) AS corners, max(r) AS vertices, sum(r)::BIGI
 def x16_x23_dense_renumbering(spark, d):
     """Used entries get dense numbers and references follow; equal entries merge."""
     w = W.partitionBy("l_orderkey").orderBy("l_partkey")
-    return table(spark, d, "lineitem").select("l_orderkey", F.dense_rank().over(w).alias("r")).groupBy(c("l_orderkey").alias("mesh")).agg(F.count("*").alias("corners"), F.max("r").alias("vertices"), F.sum("r").alias("index_sum"))
+    return table(spark, d, "lineitem").select("l_orderkey", F.dense_rank().over(w).alias("r")).groupBy(c("l_orderkey").alias("mesh")).agg(F.count("*").alias("corners"), F.max("r").cast("bigint").alias("vertices"), F.sum("r").alias("index_sum"))
 
 
 # Sorts and top lists
