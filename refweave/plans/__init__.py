@@ -1,0 +1 @@
+"""What is decided before rows move: named passes, job plans, settings."""

@@ -74,3 +74,59 @@ def test_split(parts):
     assert got[20] == "#20=PRESENTATION_LAYER_ASSIGNMENT('L','#555',(#8,#6));" and got[16].startswith("#16=COLOUR_RGB")
     again = [r[1] for r in part21.records(("\n" + part21.part_text(rows, "DATA;\n", "\n").first().content).encode())]
     assert sorted(again) == sorted(got) and membership.where("part = 1").count() == len(got)
+
+
+def test_jobs(spark, parts, tmp_path):
+    from refweave.plans import jobs
+
+    (tmp_path / "a.stp").write_text("X;\nDATA;" + SURFACE + "ENDSEC;\n")
+    entities = jobs.read(spark, str(tmp_path / "a.stp"), chunk=200)
+    assert entities.count() == parts.entities.count()
+    manifest, coverage = jobs.split(entities, str(tmp_path / "out"))
+    assert [(r.product, r.name, r.file, r.bodies) for r in manifest.collect()] == [(1, "surface", "surface-1.stp", 1)]
+    assert sum(r.in_none + r.in_one + r.in_many for r in coverage.collect()) == entities.count()
+    told = jobs.inspect(entities)
+    assert told["bodies"].first().n == 1 and told["colours"].first().faces == 1 and sorted(r.dst for r in told["unresolved"].collect()) == [43]
+    assert [(r.id, r.depth) for r in told["tree"].orderBy("depth").collect()] == [(50, 0), (1, 1)]
+    sha = jobs.checksum(spark, str(tmp_path / "a.stp"))
+    jobs.save_index(entities, sha, str(tmp_path / "index"))
+    assert jobs.open_index(spark, str(tmp_path / "index"), sha).count() == entities.count() and jobs.open_index(spark, str(tmp_path / "index"), "other") is None
+
+
+def test_passes(spark):
+    from refweave.plans import passes
+
+    rows = [(0, 1, "P", "x", []), (1, 2, "P", "x", []), (2, 3, "L", "l", [2, 1, 2]), (3, 4, "Q", "x", [])]
+    e = spark.createDataFrame(rows, "row long, id long, type string, text string, refs array<long>")
+    plan = passes.plan_sharing(e)
+    shared = passes.apply_sharing(e, plan)
+    assert {r.id: r.refs for r in shared.collect()} == {1: [], 3: [1, 1, 1], 4: []}
+    assert passes.plan_sharing(shared).aliases.count() == 0  # nothing is left to share
+    with pytest.raises(ValueError):
+        passes.apply_sharing(shared, plan)
+    registry = passes.Registry()
+    registry.add("share", requires=("resolved",), preserves=("resolved",))(lambda x: passes.apply_sharing(x, passes.plan_sharing(x)))
+    out, holds = registry.run(["share", "share"], e, {"resolved", "named"})
+    assert out.count() == 3 and holds == {"resolved"}
+    with pytest.raises(ValueError):
+        registry.run(["share"], e, set())
+
+
+def test_settings():
+    from refweave.plans import settings
+
+    pair = lambda a, b: {"visual": {"linear_deflection_mm": a, "angular_deflection_rad": b}, "collision": {"linear_deflection_mm": a, "angular_deflection_rad": b}}
+    preset = {"defaults": pair(4.0, 0.5), "assets": {"floor": pair(2.0, 0.35)}}
+    config = {"assets": {"floor": {"visual": {"linear_deflection_mm": 3.0}}}, "parts": {"wall": {"collision": {"angular_deflection_rad": 0.1}}}}
+    line = {"visual": {"linear_deflection_mm": 5.0}}
+    assert settings.resolve(preset, config, line, "floor")["visual"] == {"linear_deflection_mm": 3.0, "angular_deflection_rad": 0.35}
+    assert settings.resolve(preset, config, line, "rune", "wall") == {"collision_mode": "separate", "collision_enabled": True, "visual": {"linear_deflection_mm": 5.0, "angular_deflection_rad": 0.5}, "collision": {"linear_deflection_mm": 4.0, "angular_deflection_rad": 0.1}}
+    for bad in ({"colour": 1}, {"visual": {"linear_deflection_mm": True}}, {"visual": {"angular_deflection_rad": 4}}, {"visual": {"x": 1}}, {"collision_enabled": 1}, {"collision_mode": "no"}):
+        with pytest.raises(ValueError):
+            settings.check_block(bad, "t")
+    known = {"field": ({"package", "out"}, {"graft"})}
+    stage = {"type": "field", "package": "p", "out": "a/b"}
+    assert settings.plan_jobs({"schema_version": 1, "stages": [stage]}, known) == [("field", {"package": "p", "out": "a/b"})]
+    for stages in ([stage, stage], [stage, {**stage, "out": "a"}], [{**stage, "type": "x"}], [{"type": "field", "out": "a"}], [{**stage, "y": 1}], []):
+        with pytest.raises(ValueError):
+            settings.plan_jobs({"schema_version": 1, "stages": stages}, known)
