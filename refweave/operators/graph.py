@@ -46,25 +46,43 @@ def roots(nodes: DataFrame, edges: DataFrame, active: DataFrame | None = None) -
     return top.join(held.distinct(), "id", "left_semi")
 
 
-def forward_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def _width(df: DataFrame) -> int:
+    """Partitions for a union that goes through a loop: as many as a shuffle has."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def forward_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, visited: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(part, id, round) of all that each part's seeds reach over ``edges(src, dst)``, all parts at once; seeds have round 0.
 
-    Nothing goes through ``blocked(id)``, nor into it. Cycles end, as what a part has reached is not followed again.
+    Nothing goes through ``blocked(id)``, nor into it, nor again to what a part has ``visited(part, id)``. Cycles end, as what a part has
+    reached is not followed again.
     """
     if blocked is not None:
-        stop = blocked.select(F.col("id").alias("dst")).distinct()
-        edges = edges.join(stop, "dst", "left_anti")
+        edges = edges.join(blocked.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti")
         seeds = seeds.join(blocked.select("id").distinct(), "id", "left_anti")
-    edges = edges.select("src", "dst").distinct()
-    seen = cut(seeds.select("part", "id").distinct().withColumn("round", F.lit(0)))
+    start = seeds.select("part", "id").distinct()
+    if visited is not None:
+        start = start.join(visited, ["part", "id"], "left_anti")
+    newest = cut(start.withColumn("round", F.lit(0)))
+    levels = [newest]
     for k in range(1, max_rounds):
-        newest = seen.where(F.col("round") == k - 1)
-        reached = newest.join(edges, newest["id"] == edges["src"]).select("part", F.col("dst").alias("id")).distinct()
-        fresh = cut(reached.join(seen, ["part", "id"], "left_anti").withColumn("round", F.lit(k)))
-        if fresh.isEmpty():
+        reached = newest.select("part", "id").join(edges, newest["id"] == edges["src"]).select("part", F.col("dst").alias("id")).distinct()
+        known = levels[0].select("part", "id")
+        for level in levels[1:] + ([visited.select("part", "id")] if visited is not None else []):
+            known = known.unionByName(level.select("part", "id"))
+        newest = cut(reached.join(known, ["part", "id"], "left_anti").withColumn("round", F.lit(k)))
+        if newest.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh)) if k % 8 == 0 else seen.unionByName(fresh)
-    return seen
+        levels.append(newest)
+        if len(levels) > 16:  # long chains: one frame again
+            merged = levels[0]
+            for level in levels[1:]:
+                merged = merged.unionByName(level)
+            levels = [cut(merged.coalesce(_width(merged)))]
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def policy_closure(edges: DataFrame, seeds: DataFrame, keyed: DataFrame, listed: DataFrame, rounds: int = 6) -> tuple[DataFrame, DataFrame, bool]:
@@ -73,24 +91,28 @@ def policy_closure(edges: DataFrame, seeds: DataFrame, keyed: DataFrame, listed:
     After the forward closure, in each round: an owner in ``keyed(owner, target)`` is taken whole if its target is in the part and followed
     forward; an owner in ``listed(owner, pos, member)`` is taken if any member is, its list narrowed to the members that the part has as the
     round starts. A narrowed list stays as it first was, and is followed forward through the kept members only, never the full list.
+    Only what a round has added is looked up in the next: an owner appears with its first member or target.
     """
-    rows = cut(forward_closure(edges, seeds).select("part", "id"))
+    rows = cut(forward_closure(edges, seeds).select("part", "id").coalesce(_width(edges)))
+    newest = rows
     kept = None
     ended = False
     for _ in range(rounds):
-        plain = keyed.join(rows, keyed["target"] == rows["id"]).select("part", F.col("owner").alias("id")).distinct().join(rows, ["part", "id"], "left_anti")
-        narrowed = listed.join(rows, listed["member"] == rows["id"]).select("part", "owner", "pos", "member")
+        plain = keyed.join(newest, keyed["target"] == newest["id"]).select("part", F.col("owner").alias("id")).distinct()
+        touched = listed.join(newest, listed["member"] == newest["id"]).select("part", "owner").distinct()
         if kept is not None:
-            narrowed = narrowed.join(kept.select("part", "owner").distinct(), ["part", "owner"], "left_anti")
-        narrowed = cut(narrowed)
+            touched = touched.join(kept.select("part", "owner").distinct(), ["part", "owner"], "left_anti")
+        there = listed.join(rows, listed["member"] == rows["id"]).select("part", "owner", "pos", "member")
+        narrowed = cut(there.join(cut(touched), ["part", "owner"], "left_semi"))
         owners = narrowed.select("part", F.col("owner").alias("id")).distinct()
-        grown = forward_closure(edges, plain.unionByName(narrowed.select("part", F.col("member").alias("id"))).distinct()).select("part", "id")
-        fresh = cut(grown.unionByName(owners).distinct().join(rows, ["part", "id"], "left_anti"))
-        kept = narrowed if kept is None else cut(kept.unionByName(narrowed))
-        if fresh.isEmpty():
+        # A kept member is in the part already, so only what keyed owners bring is followed.
+        grown = forward_closure(edges, plain, visited=rows).select("part", "id")
+        newest = cut(grown.unionByName(owners.join(rows, ["part", "id"], "left_anti")).distinct())
+        kept = narrowed if kept is None else kept.unionByName(narrowed)
+        if newest.isEmpty():
             ended = True
             break
-        rows = cut(rows.unionByName(fresh))
+        rows = cut(rows.unionByName(newest).coalesce(_width(rows)))
     return rows, kept, ended
 
 

@@ -30,8 +30,8 @@ def g1_forward_closure(spark, d):
 
 def _parts(spark, d):
     """Orders as parts: lines are taken by their order reference, brands as layers narrowed to the parts that an order has."""
-    e = entity_graph(spark, d)
-    r = graph.references(e).join(e.select(c("id").alias("src"), "type"), "src")
+    e = cut(entity_graph(spark, d))
+    r = e.select(c("id").alias("src"), "type", F.posexplode("refs").alias("pos", "dst"))
     keyed = r.where("type = 'lineitem' AND pos = 0").select(c("src").alias("owner"), c("dst").alias("target"))
     brands = table(spark, d, "part").select((F.lit(8 * KIND) + F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint")).alias("owner"), (F.lit(5 * KIND) + c("p_partkey")).alias("member"))
     listed = brands.withColumn("pos", c("member"))
@@ -226,12 +226,12 @@ def _hashed(e):
 @query(f"WITH {MERKLE} SELECT h AS hash, count(*) AS members, min(id) AS representative, count(*) - 1 AS redundant FROM hashed GROUP BY 1 HAVING count(*) >= 2")
 def h1_a9_duplicate_graphs(spark, d):
     """Records that are equal with all that they reach."""
-    return fingerprint.duplicate_groups(_hashed(entity_graph(spark, d)))
+    return fingerprint.duplicate_groups(_hashed(cut(entity_graph(spark, d))))
 
 
 @query(f"WITH {MERKLE} SELECT level, count(*) AS records, count(DISTINCT h) AS recipes FROM hashed GROUP BY 1")
 def h6_recipe_pool(spark, d):
-    return _hashed(entity_graph(spark, d)).groupBy("level").agg(F.count("*").alias("records"), F.count_distinct("hash").alias("recipes"))
+    return _hashed(cut(entity_graph(spark, d))).groupBy("level").agg(F.count("*").alias("records"), F.count_distinct("hash").alias("recipes"))
 
 
 @query(f"""WITH {MERKLE}, k AS (SELECT min(id) AS id FROM hashed GROUP BY h) SELECT (SELECT count(*) FROM hashed) - (SELECT count(*) FROM k) AS aliases, (SELECT count(*) FROM k) AS kept, (SELECT sum(len(refs))::BIGINT FROM ents JOIN k USING (id)) AS refs, 0 AS problems""")
