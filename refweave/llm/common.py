@@ -1,39 +1,15 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, broadcasts behind a size check, row keys, hash samples."""
+"""What the operators of this subpackage share: row keys, hash samples, and the library's helpers."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ..shared import BROADCAST_ROWS, cut, shared_folder, sized, table
+
+__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
 
 #: Word separators; words are ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows up to which a frame of a few short columns is broadcast; beyond it Spark joins by shuffle, with its skew handling.
-BROADCAST_ROWS = 500_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir. A temporary one is set only where none
-    is named, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there. A lost executor costs nothing that was written."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already cut, of short rows), with a broadcast hint only if it is counted to have at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.graph import components
 from .common import cut, table
 from .textvec import U64, Words, buffer_of, mix, pieces
 
@@ -224,27 +225,6 @@ def _compare(threshold: float):
     return run
 
 
-def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
-    """(_a, _root): for each vertex of an edge, the least vertex that it is connected to.
-
-    Alternating large-star and small-star steps until the edges stop changing; no task gets more than an aggregate of a vertex's edges.
-    """
-    current = cut(edges.select(F.greatest(a, b).alias("_u"), F.least(a, b).alias("_v")).where("_u <> _v").distinct())
-    before = None
-    while True:
-        both = current.unionByName(current.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
-        least = both.groupBy("_u").agg(F.min(F.least("_u", "_v")).alias("_m"))
-        large = both.join(least, "_u").where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
-        large = large.unionByName(least.where("_m < _u").select("_u", F.col("_m").alias("_v"))).where("_u <> _v").distinct()
-        down = large.groupBy("_u").agg(F.min("_v").alias("_m"))
-        small = large.join(down, "_u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).where("_u <> _v").unionByName(down.select("_u", F.col("_m").alias("_v"))).distinct()
-        current = cut(small)
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v") % 1000003)).first()
-        if tuple(state) == before:
-            return current.groupBy(F.col("_u").alias("_a")).agg(F.min("_v").alias("_root"))
-        before = tuple(state)
-
-
 def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
     """(_row, doc_id, class_id, n_links, is_first): one row per row of ``docs``.
 
@@ -278,7 +258,7 @@ def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, rec
     dealt = dealt.repartition("_bucket", "_x", "_y").sortWithinPartitions("_bucket", "_x", "_y")
     compared = cut(dealt.mapInArrow(_compare(threshold), "_a long, _b long, _links long"))
     links = compared.where("_links is not null").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_links").alias("_other_links"))
-    rooted = components(compared.where("_b is not null").select("_a", "_b"))
+    rooted = components(compared.where("_b is not null").select("_a", "_b"), "_a", "_b").toDF("_a", "_root")
     placed = members.join(links, "_rep", "left").join(rooted, members["_rep"] == rooted["_a"], "left").select("_f1", "_f2", "_n", "_least", "_copies", F.coalesce("_root", "_rep").alias("_root"), (F.coalesce("_other_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
     placed = cut(placed)
     heads = placed.groupBy("_root").agg(F.min("_least").alias("_head"))
