@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..shared import cut, numbered
+from .graph import forward_closure
 
 
 def merkle(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -87,3 +91,37 @@ def positional_diff(a: DataFrame, b: DataFrame, order: str, value: str) -> DataF
     one = numbered(a, "k", order).select("k", F.col(value).alias("left"))
     two = numbered(b, "k", order).select("k", F.col(value).alias("right"))
     return one.join(two, "k", "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def visit_code(children: dict[int, list[int]], labels: dict[int, str], root: int) -> str:
+    """SHA-256 of a walk from the root in argument order, records named by the order in which they are first met: what is shared where
+    counts, ids don't."""
+    met = {root: 0}
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        told = []
+        fresh = []
+        for y in children.get(x, []):
+            if y not in met:
+                met[y] = len(met)
+                fresh.append(y)
+            told.append(str(met[y]))
+        out.append(f"{met[x]}:{labels.get(x, '')}({','.join(told)})")
+        stack += reversed(fresh)
+    return hashlib.sha256(";".join(out).encode()).hexdigest()
+
+
+def incidence(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, hash) by ``visit_code`` of what each of ``roots(id)`` reaches; a root's graph, such as a body's, is one group."""
+    edges = cut(edges.select("src", "pos", "dst"))
+    reached = forward_closure(edges, roots.select(F.col("id").alias("part"), "id")).select("part", "id")
+    labelled = reached.join(nodes.select("id", F.col("text").alias("label")), "id", "left")
+    lists = edges.groupBy(F.col("src").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("to"))
+    rows = labelled.join(lists, "id", "left").select(F.col("part").alias("root"), "id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("to", F.array().cast("array<bigint>")).alias("to"))
+
+    def code(x: pd.DataFrame) -> pd.DataFrame:
+        root = int(x["root"].iloc[0])
+        return pd.DataFrame({"root": [root], "hash": [visit_code({int(i): [int(v) for v in to] for i, to in zip(x["id"], x["to"])}, dict(zip(x["id"].astype(int), x["label"])), root)]})
+
+    return rows.groupBy("root").applyInPandas(code, "root long, hash string")

@@ -183,6 +183,13 @@ class ProductModel:
         bounds = self.refs.where((c("src_type") == FACE) & (c("dst_type") == "FACE_OUTER_BOUND") & (c("back") < -1)).groupBy(c("src").alias("face")).agg(F.count("*").alias("n"))
         return self.faces.join(bounds, "face", "left").groupBy("body").agg(F.sum(F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0))).alias("extra"))
 
+    @cached_property
+    def uses(self) -> DataFrame:
+        """(owner, pos, child, orientation): ordered uses of topology; orientation 1 or -1 where the record's last operand is a flag, else 0."""
+        flag = F.regexp_extract("args", r"\.([TF])\.\s*$", 1)
+        told = self.of(*TOPOLOGY, FACE).select(c("id").alias("src"), F.when(flag == "T", 1).when(flag == "F", -1).otherwise(0).alias("orientation"))
+        return self.refs.join(told, "src").where(c("dst_type").isin(*TOPOLOGY, FACE, POINT)).select(c("src").alias("owner"), "pos", c("dst").alias("child"), "orientation")
+
     @cached_property
     def boxes(self) -> DataFrame:
         """(body, low, high, vertices): extent of the vertex points that a body reaches, each record once; bodies without any are left out."""

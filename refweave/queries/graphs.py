@@ -291,3 +291,12 @@ def h17_p4_profile_pool(spark, d):
     """Requests with the same settings share a profile, by the digest of their canonical JSON."""
     text = F.concat(F.lit('{"brand":"'), "p_brand", F.lit('","size":'), c("p_size").cast("string"), F.lit(',"type":"'), "p_type", F.lit('"}'))
     return table(spark, d, "part").groupBy(F.sha2(text, 256).alias("profile")).agg(F.count("*").alias("requests"), F.min("p_partkey").alias("first_request"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS root, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN o ON root = c_custkey) SELECT count(DISTINCT n) AS shapes, count(*) AS roots FROM a""")
+def h13_incidence_hashes(spark, d):
+    """Customers with their orders, by shape alone: labels are left out, so equal numbers of orders give equal hashes."""
+    orders = table(spark, d, "orders").select((F.lit(3 * KIND) + c("o_custkey")).alias("src"), c("o_orderkey").alias("pos"), (F.lit(6 * KIND) + c("o_orderkey")).alias("dst"))
+    roots = table(spark, d, "customer").select((F.lit(3 * KIND) + c("c_custkey")).alias("id"))
+    nodes = roots.select("id", F.lit("").alias("text"))
+    return fingerprint.incidence(nodes, orders, roots).agg(F.count_distinct("hash").alias("shapes"), F.count("*").alias("roots"))

@@ -443,3 +443,11 @@ def x34_composed_states(spark, d):
     orders = table(spark, d, "orders").select(c("o_orderkey").alias("unit"), "o_orderstatus", "o_orderpriority")
     omitted = orders.where("o_orderstatus = 'P'").select("unit").unionByName(spark.createDataFrame([(99999999999,)], "unit long"))
     return assign.compose(orders, omitted, orders.where("o_orderpriority = '1-URGENT'"), "unit")
+
+
+@query("""WITH f AS (SELECT p_type AS kind, round_even(p_size / 10.0, 0)::BIGINT AS radius, round_even(p_retailprice / 250.0, 0)::BIGINT AS depth, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1, 2, 3)
+SELECT kind, radius, depth, n, first_part FROM f WHERE n >= 2""")
+def p13_families_by_rounded_key(spark, d):
+    """Openings and fasteners of one family: equal after rounding, two at least."""
+    key = [c("p_type").alias("kind"), g.quantised(c("p_size"), 10.0).alias("radius"), g.quantised(c("p_retailprice"), 250.0).alias("depth")]
+    return table(spark, d, "part").groupBy(*key).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part")).where("n >= 2")

@@ -157,3 +157,13 @@ def test_boxes_grids_and_rotations(spark):
     flat = g.doubles([0.0] * 15 + [1.0])
     assert tuple(one.select(g.rigid(flat), g.valid_placement(flat)).first()) == (False, False)
     assert one.select(g.round4(F.lit(1.00005))).first()[0] == 1.0001
+
+
+def test_incidence_tells_sharing_apart(spark):
+    nodes = spark.createDataFrame([(k, "n") for k in range(20)], "id long, text string")
+    shared = [(1, 0, 2), (1, 1, 3), (2, 0, 4), (3, 0, 4)]
+    apart = [(11, 0, 12), (11, 1, 13), (12, 0, 14), (13, 0, 15)]
+    again = [(5, 0, 9), (5, 1, 8), (9, 0, 7), (8, 0, 7)]
+    edges = spark.createDataFrame(shared + apart + again, "src long, pos int, dst long")
+    got = {r.root: r.hash for r in fingerprint.incidence(nodes, edges, spark.createDataFrame([(1,), (11,), (5,)], "id long")).collect()}
+    assert got[1] == got[5] != got[11]

@@ -62,6 +62,7 @@ def test_styles_and_boxes(parts):
     assert (style.target, style.surface, style.overriding) == (7, "0.0000,1.0000,0.0000", False)
     assert {r.id: r.key for r in parts.colours.collect()}[16] == "1.0000,0.5000,0.0000"
     assert [tuple(r) for r in parts.face_colours.collect()] == [(6, "0.0000,1.0000,0.0000", 1)]
+    assert {(r.owner, r.child): r.orientation for r in parts.uses.collect()}[(33, 34)] == 1
     assert parts.extra_outer_bounds.first().extra == 1
     box = parts.boxes.first()
     assert (box.low, box.high, box.vertices) == ([-1.0, -2.0, 0.5], [1.0, 4.0, 3.0], 2)
