@@ -48,7 +48,7 @@ brand AS (SELECT 5*{KIND}+p_partkey AS p, 8*{KIND}+regexp_extract(p_brand, '(\\d
 
 @query(f"""WITH {MEMBERS}, a AS (SELECT part, id FROM member UNION SELECT part, owner FROM kept), k AS (SELECT part, count(*) AS n, count(DISTINCT owner) AS o FROM kept GROUP BY 1)
 SELECT part, count(*) AS rows, coalesce(max(n), 0)::BIGINT AS kept_members, coalesce(max(o), 0)::BIGINT AS narrowed_lists, true AS ended FROM a LEFT JOIN k USING (part) GROUP BY 1""")
-def g2_g7_policy_closure(spark, d):
+def g2_g3_g4_g5_policy_closure(spark, d):
     """Closure with reverse pulls by key and by narrowed list, within six rounds."""
     _, (rows, kept, ended) = _parts(spark, d)
     k = kept.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("owner").alias("o"))
@@ -118,7 +118,7 @@ def g9_g20_g22_paths_with_shell(spark, d):
 a AS (SELECT id, s1, s2, s3, s1 % 4 AS a1, (s1 + s2) % 4 AS a2 , (s1 + s2 + s3) % 4 AS a3 FROM t)
 SELECT id, (s1 + CASE a1 WHEN 0 THEN s2 WHEN 1 THEN 0 WHEN 2 THEN -s2 ELSE 0 END + CASE a2 WHEN 0 THEN s3 WHEN 1 THEN 0 WHEN 2 THEN -s3 ELSE 0 END)::DOUBLE AS x,
 (CASE a1 WHEN 0 THEN 0 WHEN 1 THEN s2 WHEN 2 THEN 0 ELSE -s2 END + CASE a2 WHEN 0 THEN 0 WHEN 1 THEN s3 WHEN 2 THEN 0 ELSE -s3 END)::DOUBLE AS y, (CASE a3 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END)::DOUBLE AS r00, true AS rigid FROM a""")
-def g12_g13_occurrence_transforms(spark, d):
+def f7_g12_g13_occurrence_transforms(spark, d):
     """World matrices along paths: each step moves by its slot, then turns by quarter turns."""
     tops = entity_graph(spark, d, ["region"]).select("id")
     s = c("slot").cast("double")
@@ -156,7 +156,7 @@ def g17_retention_to_fixpoint(spark, d):
 
 
 @query(f"""SELECT 6*{KIND}+o_orderkey AS node, (n_regionkey = 2 OR c_acctbal < 0) AS protected, coalesce(CASE WHEN c_acctbal > 9000 THEN 0.5 END, CASE WHEN n_name < 'G' THEN 1.0 END, 2.0) / 4 AS local_mm FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
-def g19_g21_x24_inherited_policy(spark, d):
+def g19_g21_p3_x24_inherited_policy(spark, d):
     """Protection sticks once an ancestor has it; the nearest ancestor's override counts; world limits become local ones by the scale."""
     e = entity_graph(spark, d, UP)
     nations = table(spark, d, "nation").select((F.lit(2 * KIND) + c("n_nationkey")).alias("child"), (c("n_regionkey") == 2).alias("own"), F.when(c("n_name") < "G", 1.0).alias("over"))
