@@ -6,9 +6,9 @@ ids with repeats. Loops carry integer keys only and write their state to the sha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..shared import cut
+from ..shared import cut, ranked
 
 
 def references(entities: DataFrame) -> DataFrame:
@@ -177,11 +177,10 @@ def paths(tops: DataFrame, edges: DataFrame, carry: dict[str, tuple[Column, Colu
 
 
 def tree_lines(nodes: DataFrame, shown: int = 8, limit: int = 12) -> DataFrame:
-    """Children to show in a printed tree: ``nodes(parent, child, n)``, ordered by child; where a parent has over ``limit`` children only the
-    first ``shown`` stay, and ``hidden`` tells how many don't."""
-    w = W.partitionBy("parent")
-    ranked = nodes.withColumn("_k", F.row_number().over(w.orderBy("child"))).withColumn("_all", F.count("*").over(w))
-    return ranked.where((F.col("_all") <= limit) | (F.col("_k") <= shown)).select("parent", "child", "n", F.when(F.col("_all") > limit, F.col("_all") - shown).otherwise(0).alias("hidden"))
+    """Children to show in a printed tree: ``nodes(parent, child)``, ordered by child and numbered as ``n``; where a parent has over ``limit``
+    children only the first ``shown`` stay, and ``hidden`` tells how many don't."""
+    rows = ranked(nodes, "n", "parent", "child", size="_all")
+    return rows.where((F.col("_all") <= limit) | (F.col("n") <= shown)).select("parent", "child", "n", F.when(F.col("_all") > limit, F.col("_all") - shown).otherwise(0).alias("hidden"))
 
 
 def keep_ancestors(all_paths: DataFrame, selected: DataFrame) -> DataFrame:

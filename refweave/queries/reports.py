@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from ..functions import geometry as g
 from ..operators import assign, fingerprint, graph
-from ..shared import numbered, table
+from ..shared import numbered, quantiles, ranked, table
 from ..sources.tables import ENTS, KIND, KINDS, REFS, entity_graph
 from .base import query
 
@@ -119,11 +119,11 @@ def a18_surface_summary(spark, d):
 @query("""SELECT o_orderpriority AS kind, round(quantile_cont(o_totalprice, 0.95), 6) AS p95, round(quantile_cont(o_totalprice, 0.99), 6) AS p99,
 list_sort(list(o_totalprice))[count(*) // 2 + 1] AS upper_median FROM orders GROUP BY 1""")
 def a19_a20_percentiles(spark, d):
-    """Interpolated percentiles, and the upper median (element n // 2)."""
-    return table(spark, d, "orders").groupBy(c("o_orderpriority").alias("kind")).agg(
-        F.round(F.percentile("o_totalprice", 0.95), 6).alias("p95"), F.round(F.percentile("o_totalprice", 0.99), 6).alias("p99"),
-        F.element_at(F.sort_array(F.collect_list("o_totalprice")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median"),
-    )
+    """Interpolated percentiles, and the upper median (element n // 2), by ranks: no task gathers a kind's values."""
+    orders = table(spark, d, "orders").select(c("o_orderpriority").alias("kind"), "o_totalprice")
+    shares = quantiles(orders, "kind", "o_totalprice", {"p95": 0.95, "p99": 0.99})
+    middle = ranked(orders, "r", "kind", "o_totalprice", size="n").where(c("r") == F.floor(c("n") / 2) + 1).select("kind", c("o_totalprice").alias("upper_median"))
+    return shares.join(middle, "kind").select("kind", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"), "upper_median")
 
 
 @query("""SELECT r_name AS region, count(*) AS placements, sum(p_size)::BIGINT AS triangles FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
@@ -212,15 +212,16 @@ def w3_preferred_owner(spark, d):
 @query("""WITH n AS (SELECT event_type, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events)
 SELECT event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM n GROUP BY event_type, island""")
 def w4_runs_of_consecutive_rows(spark, d):
-    w = W.partitionBy("event_type").orderBy("event_id")
-    runs = table(spark, d, "events").select("event_type", "event_id").withColumn("island", c("event_id") - F.row_number().over(w))
+    """Rows of one kind whose ids follow each other: id less position is the same for all of a run. Positions are over the whole table in the
+    order of (kind, id), so that no task has to see all rows of a kind."""
+    runs = numbered(table(spark, d, "events").select("event_type", "event_id"), "k", "event_type", "event_id").withColumn("island", c("event_id") - c("k"))
     return runs.groupBy("event_type", "island").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count("*").alias("n")).drop("island")
 
 
 @query("""SELECT p_name AS name, p_partkey AS node FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS occurrence FROM part) WHERE occurrence = 2""")
 def w5_f13_nth_occurrence(spark, d):
-    w = W.partitionBy("p_brand").orderBy("p_partkey")
-    return table(spark, d, "part").withColumn("o", F.row_number().over(w) - 1).where("o = 2").select(c("p_name").alias("name"), c("p_partkey").alias("node"))
+    rows = ranked(table(spark, d, "part").select("p_brand", "p_partkey", "p_name"), "o", "p_brand", "p_partkey")
+    return rows.where("o = 3").select(c("p_name").alias("name"), c("p_partkey").alias("node"))
 
 
 @query("""SELECT l_orderkey AS loop, l_linenumber AS pos, l_partkey AS vertex, coalesce(lead(l_partkey) OVER w, first_value(l_partkey) OVER w) AS next_vertex FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)""")
@@ -278,9 +279,7 @@ def t2_how_many_more(spark, d):
 @query("""WITH n AS (SELECT c_nationkey AS parent, c_custkey AS child, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS a FROM customer)
 SELECT parent, child, k::BIGINT AS n, CASE WHEN a > 12 THEN a - 8 ELSE 0 END AS hidden FROM n WHERE a <= 12 OR k <= 8""")
 def t3_g15_truncated_children(spark, d):
-    w = W.partitionBy("c_nationkey").orderBy("c_custkey")
-    nodes = table(spark, d, "customer").select(c("c_nationkey").alias("parent"), c("c_custkey").alias("child"), F.row_number().over(w).cast("bigint").alias("n"))
-    return graph.tree_lines(nodes)
+    return graph.tree_lines(table(spark, d, "customer").select(c("c_nationkey").alias("parent"), c("c_custkey").alias("child")))
 
 
 @query("""SELECT l_orderkey AS body, round(max(l_extendedprice) - min(l_extendedprice), 4) AS extent FROM lineitem GROUP BY 1 ORDER BY extent DESC, body LIMIT 25""")

@@ -42,3 +42,27 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per partition
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def ranked(df: DataFrame, name: str, key: str, *order, size: str | None = None) -> DataFrame:
+    """``df`` with each row's rank from 1 within its key, and the key's number of rows as ``size``; a key may hold most rows, as no task has
+    to see a whole key."""
+    rows = cut(numbered(df, "_k", key, *order))
+    starts = cut(rows.groupBy(key).agg(F.min("_k").alias("_first"), F.count("*").alias(size or "_size")))
+    out = rows.withColumnRenamed(key, "_key").join(sized(starts), F.col("_key").eqNullSafe(F.col(key))).withColumn(name, F.col("_k") - F.col("_first") + 1)
+    return out.drop("_key", "_k", "_first", *([] if size else ["_size"]))
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column per share): exact quantiles with linear interpolation between the two nearest ranks. Nulls don't count."""
+    rows = ranked(df.select(key, value).where(F.col(value).isNotNull()), "_r", key, value, size="_n")
+    at = {name: (F.col("_n") - 1) * share for name, share in shares.items()}
+    r = F.col("_r") - 1
+    near = None
+    for place in at.values():
+        one = (r == F.floor(place)) | (r == F.ceil(place))
+        near = one if near is None else near | one
+    picked = rows.where(near)
+    pair = [F.max(F.when(r == f(place), F.col(value))).alias(f"_{name}_{k}") for name, place in at.items() for k, f in enumerate((F.floor, F.ceil))]
+    wide = picked.groupBy(key).agg(F.first("_n").alias("_n"), *pair)
+    return wide.select(key, *[(F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (place - F.floor(place))).alias(name) for name, place in at.items()])

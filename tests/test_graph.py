@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from refweave.functions import geometry as g
 from refweave.operators import assign, fingerprint, graph
-from refweave.shared import numbered
+from refweave.shared import numbered, quantiles, ranked
 
 
 def entities(spark, rows):
@@ -167,3 +167,20 @@ def test_incidence_tells_sharing_apart(spark):
     edges = spark.createDataFrame(shared + apart + again, "src long, pos int, dst long")
     got = {r.root: r.hash for r in fingerprint.incidence(nodes, edges, spark.createDataFrame([(1,), (11,), (5,)], "id long")).collect()}
     assert got[1] == got[5] != got[11]
+
+
+def test_ranks_and_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(rng.choice("aab"), float(rng.randrange(50))) for _ in range(500)] + [("c", 1.0), (None, 4.0), ("a", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: (r.low, r.high) for r in quantiles(frame, "k", "v", {"low": 0.25, "high": 0.99}).collect()}
+    for k in ("a", "b", "c", None):
+        own = [v for x, v in rows if x == k and v is not None]
+        assert np.allclose(got[k], np.percentile(own, [25, 99]))
+    ranks = ranked(frame, "r", "k", "v", size="n").collect()
+    for k in ("a", "b", "c", None):
+        own = [r for r in ranks if r.k == k]
+        assert sorted(r.r for r in own) == list(range(1, len(own) + 1)) and {r.n for r in own} == {len(own)}
+    assert graph.tree_lines(spark.createDataFrame([(0, i) for i in range(20)] + [(1, i) for i in range(12)], "parent long, child long")).groupBy("parent", "hidden").count().orderBy("parent").collect() == [(0, 12, 8), (1, 0, 12)]
