@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bucket, cut, table, uniform
 from .gru import END, OUTSIDE, Model
-from .textvec import LOWER_VALUE, U64, Words, buffer_of, mix, pieces, sum_by
+from .textvec import LOWER_VALUE, U64, Words, buffer_of, pieces, sum_by
 
 FOLDS, FOLD = 7, 2
 VOCABULARY = 4096
 #: Common words, whose counts every task gets: 16 bytes each.
 COMMON = 100_000
 START_DOCS, START_PASSES, MAX_CHARS = 800, 2, 50_000
-LEARN_ONE_IN, RATE = 12, 0.1
+LEARN_ONE_IN, RATE = 4, 0.1
 #: Partitions of the corpus whose learning documents one task takes, so that a task learns enough before changes are averaged.
 PARTITIONS_A_TASK = 6
 #: Tokens that a task scores at once.
