@@ -7,14 +7,16 @@ source's rate. Every document is exploded by its count, then all copies are deal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from .common import cut, sized, table
+from .common import cut, table
 
 #: Target shares are in proportion to (documents of the source) ** ALPHA: below 1, small sources are repeated and large ones thinned.
 ALPHA = 0.5
 SEED = 20
 NO_SOURCE = "(none)"
+#: Numbers in the sources' distributions up to which these are broadcast; beyond it documents are joined to them by shuffle.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def _hash_hex(*parts) -> Column:
@@ -25,7 +27,7 @@ def source_rates(docs: DataFrame, targets: DataFrame | None = None, alpha: float
     """(_source, n_docs, rate, cdf): one row per source. ``targets`` has (source, weight); without it weights are n_docs ** alpha.
 
     rate = weight / sum(weight) * epochs * all documents / n_docs. A source that ``targets`` lacks gets rate 0. cdf[k] = P(count <= k), to
-    where the rest is below 1e-16; its terms come from logarithms, so large rates don't underflow.
+    where the rest is below 1e-16; its terms come from logarithms, so large rates don't underflow. Weights count among sources that ``docs`` has.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("_source")).agg(F.count("*").alias("n_docs"))
     if targets is None:
@@ -34,22 +36,17 @@ def source_rates(docs: DataFrame, targets: DataFrame | None = None, alpha: float
         given = targets.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("_source")).agg(F.sum("weight").alias("_w"))
         weighted = sizes.join(given, "_source", "left").withColumn("_w", F.coalesce(F.greatest("_w", F.lit(0.0)), F.lit(0.0)))
     weighted = cut(weighted)
-    total = weighted.agg(F.sum("_w").alias("_sum"), F.sum("n_docs").alias("_all"))
-    rated = weighted.crossJoin(F.broadcast(total)).select(  # the total is one row
-        "_source", "n_docs", F.when(F.col("_sum") > 0, F.col("_w") / F.col("_sum") * float(epochs) * F.col("_all") / F.col("n_docs")).otherwise(F.lit(0.0)).alias("rate")
-    )
+    weights, documents = weighted.agg(F.coalesce(F.sum("_w"), F.lit(0.0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    rate = F.col("_w") / F.lit(weights) * F.lit(float(epochs)) * F.lit(documents) / F.col("n_docs") if weights > 0 else F.lit(0.0)
+    rated = weighted.select("_source", "n_docs", rate.alias("rate"))
+    rated = cut(rated)
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
-    grown = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct((-F.col("rate")).alias("log_p"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
-        lambda a, k: F.struct(
-            (a["log_p"] + F.log(F.col("rate") / k)).alias("log_p"),
-            (a["sum"] + F.exp(a["log_p"] + F.log(F.col("rate") / k))).alias("sum"),
-            F.concat(a["cdf"], F.array(a["sum"] + F.exp(a["log_p"] + F.log(F.col("rate") / k)))).alias("cdf"),
-        ),
-        lambda a: a["cdf"],
-    )
-    return cut(rated.select("_source", "n_docs", "rate", F.when(F.col("rate") > 0, grown).otherwise(F.array(F.lit(1.0))).alias("cdf")))
+    terms = rated.where("rate > 0").select("_source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
+    upto = W.partitionBy("_source").orderBy("_k")
+    logs = terms.withColumn("_log", -F.col("rate") + F.sum(F.when(F.col("_k") > 0, F.log(F.col("rate") / F.col("_k"))).otherwise(0.0)).over(upto))
+    sums = logs.withColumn("_sum", F.sum(F.exp("_log")).over(upto))
+    cdfs = sums.groupBy("_source").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_sum"))), lambda x: x["_sum"]).alias("cdf"))
+    return cut(rated.join(cdfs, "_source", "left").select("_source", "n_docs", "rate", F.coalesce("cdf", F.array(F.lit(1.0))).alias("cdf")))
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -60,10 +57,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, alpha: float
     """
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key", "_source", "n_docs", "cdf")
     rates = source_rates(docs, targets, alpha, epochs)
+    if (rates.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
+        rates = F.broadcast(rates)
     u = (F.conv(F.substring(_hash_hex(seed, F.col("doc_id")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     counted = (
         docs.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE)))
-        .join(sized(rates), "_source")
+        .join(rates, "_source")
         .withColumn("_u", u)
         .withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
         .where("n_copies > 0")
