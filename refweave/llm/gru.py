@@ -16,10 +16,6 @@ CLASSES = 48
 LANES, LEARN_LANES, SPAN = 512, 64, 32
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def class_starts(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """First id of each class, then the number of ids. END and OUTSIDE are classes of their own; the others share the square roots of the
     frequencies about equally."""
@@ -91,58 +87,82 @@ class Model:
             at += p.size
 
     def run(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """Hidden states (steps x lanes x HIDDEN) after each input; ``fresh`` marks inputs that begin a document, from a state of zeros."""
-        out = np.empty((*inputs.shape, HIDDEN), np.float32)
+        """Hidden states (steps x lanes x HIDDEN) after each input; ``fresh`` marks inputs that begin a document, from a state of zeros.
+        ``kept`` gets the states before each input, the gates, the candidates and the candidates' recurrent part, for learning."""
+        out = np.empty((*inputs.shape, HIDDEN), self.u.dtype)
+        if kept is not None:
+            kept += [np.empty_like(out), np.empty((*inputs.shape, 2 * HIDDEN), out.dtype), np.empty_like(out), np.empty_like(out)]
+        begins = fresh.any(axis=1)
+        into = self.x[inputs]
         for t in range(len(inputs)):
-            if fresh[t].any():
+            if begins[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            a, g = self.x[inputs[t]], h @ self.u
-            gates = sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+            a, g = into[t], h @ self.u
+            gates = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]  # sigmoid(v) = (1 + tanh(v / 2)) / 2
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            m = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+            m = r * g[:, 2 * HIDDEN :]
+            m += a[:, 2 * HIDDEN :]
+            np.tanh(m, out=m)
             if kept is not None:
-                kept.append((h, z, r, m, g[:, 2 * HIDDEN :]))
-            h = m + z * (h - m)
-            out[t] = h
+                kept[0][t], kept[1][t], kept[2][t], kept[3][t] = h, gates, m, g[:, 2 * HIDDEN :]
+            np.subtract(h, m, out=out[t])
+            out[t] *= z
+            out[t] += m
+            h = out[t]
         return out
 
+    @staticmethod
+    def _softmax(logits: np.ndarray, targets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probabilities of the targets, exponentials in place of the logits, their sums)."""
+        if logits.max() > 60 or logits.min() < -60:  # else neither the exponentials nor their sums leave the range of floats
+            logits -= logits.max(axis=1, keepdims=True)
+        own = logits[rows, targets]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        return own - np.log(total), logits, total
+
     def log_probability(self, h: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the targets after states ``h``; adds to ``grads`` of the cross-entropy, and gives that of ``h``."""
-        logits = h @ self.class_w + self.class_b
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        if not len(h):
+            return np.zeros(0, h.dtype), None if grads is None else np.zeros_like(h)
         cls = self.of_class[targets]
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # fewer than 65,536 classes; 16 bits are sorted by radix
+        cls, h, targets = cls[order], h[order], targets[order]
+        ends = np.searchsorted(cls, np.arange(len(self.starts)))
         rows = np.arange(len(h))
-        lp = logits[rows, cls] - np.log(total)
+        lp, d, total = self._softmax(h @ self.class_w + self.class_b, cls, rows)
         back = None
         if grads is not None:
-            d = e / total[:, None]
+            d /= total[:, None]
             d[rows, cls] -= 1
             back = d @ self.class_w.T
             grads[2] += h.T @ d
             grads[3] += d.sum(axis=0)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.starts)))
-        for c in range(len(self.starts) - 1):
+        for c in np.flatnonzero((np.diff(self.starts) > 1) & (np.diff(ends) > 0)).tolist():
             a, b = self.starts[c], self.starts[c + 1]
-            i = order[ends[c] : ends[c + 1]]
-            if b - a == 1 or not len(i):
-                continue
-            own = h[i]
-            logits = own @ self.word_w[a:b].T + self.word_b[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            k = np.arange(len(i))
-            lp[i] += logits[k, targets[i] - a] - np.log(total)
+            i, j = ends[c], ends[c + 1]
+            own, weights = h[i:j], self.word_w[a:b]
+            logits = own @ weights.T
+            logits += self.word_b[a:b]
+            k, at = rows[: j - i], targets[i:j] - a
+            more, d, total = self._softmax(logits, at, k)
+            lp[i:j] += more
             if grads is not None:
-                d = e / total[:, None]
-                d[k, targets[i] - a] -= 1
-                back[i] += d @ self.word_w[a:b]
+                d /= total[:, None]
+                d[k, at] -= 1
+                back[i:j] += d @ weights
                 grads[4][a:b] += d.T @ own
                 grads[5][a:b] += d.sum(axis=0)
-        return lp, back
+        out = np.empty_like(lp)
+        out[order] = lp
+        if back is not None:
+            sorted_back, back = back, np.empty_like(back)
+            back[order] = sorted_back
+        return out, back
 
     def _inputs(self, tokens: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input before each target (END before a document's first), and whether the target is a document's first."""
@@ -171,6 +191,17 @@ class Model:
             out[places] = self.log_probability(states[go], tokens[places])[0]
         return out
 
+    @staticmethod
+    def _descend(p: np.ndarray, squares: np.ndarray, g: np.ndarray, scale: np.float32, rate: np.float32) -> None:
+        """A step against gradient ``g`` * ``scale``, in place; ``g`` is used up."""
+        g *= scale
+        root = g * g
+        squares += root
+        np.sqrt(squares, out=root)
+        g /= root
+        g *= rate
+        p -= g
+
     def learn(self, tokens: np.ndarray, of: np.ndarray, rate: float, decay_to: float = 0.2) -> int:
         """One pass of truncated backpropagation over SPAN tokens, with per-parameter rates; returns the tokens learned from."""
         if not len(tokens):
@@ -196,27 +227,38 @@ class Model:
             _, back = self.log_probability(states[go], tokens[at[go]], grads)
             d_states = np.zeros_like(states)
             d_states[go] = back
+            before, gates, m, gn = kept
+            z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+            # What the loop multiplies by, for all steps at once.
+            to_m, to_z, to_r = (1 - z) * (1 - m * m), (before - m) * z * (1 - z), gn * r * (1 - r)
             d = np.zeros_like(h)
             d_inputs = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+            into = np.empty_like(d_inputs)
+            stays = (~fresh).astype(np.float32)[..., None]
+            back_u = np.ascontiguousarray(self.u.T)
             for t in range(len(inputs) - 1, -1, -1):
-                before, z, r, m, gn = kept[t]
-                d = d + d_states[t]
-                dm = d * (1 - z) * (1 - m * m)
-                dz = d * (before - m) * z * (1 - z)
-                dr = dm * gn * r * (1 - r)
-                d_inputs[t, :, :HIDDEN], d_inputs[t, :, HIDDEN : 2 * HIDDEN], d_inputs[t, :, 2 * HIDDEN :] = dz, dr, dm
-                into = np.concatenate([dz, dr, dm * r], axis=1)
-                grads[1] += before.T @ into
-                d = (d * z + into @ self.u.T) * ~fresh[t][:, None]
+                d += d_states[t]
+                dm = d * to_m[t]
+                np.multiply(d, to_z[t], out=into[t, :, :HIDDEN])
+                np.multiply(dm, to_r[t], out=into[t, :, HIDDEN : 2 * HIDDEN])
+                np.multiply(dm, r[t], out=into[t, :, 2 * HIDDEN :])
+                d_inputs[t, :, 2 * HIDDEN :] = dm
+                d *= z[t]
+                d += into[t] @ back_u
+                d *= stays[t]
+            d_inputs[..., : 2 * HIDDEN] = into[..., : 2 * HIDDEN]
+            grads[1] += before.reshape(-1, HIDDEN).T @ into.reshape(-1, 3 * HIDDEN)
             scale = np.float32(1 / max(1, len(h)))
-            now = rate * (1 - (1 - decay_to) * step / max(1, len(lanes.at)))
+            now = np.float32(rate * (1 - (1 - decay_to) * step / max(1, len(lanes.at))))
             for k in range(1, len(parameters)):
-                g = grads[k] * scale
-                squares[k] += g * g
-                parameters[k] -= now * g / np.sqrt(squares[k])
-            ids, inverse = np.unique(inputs[go], return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            g = np.add.reduceat(d_inputs[go][order], np.searchsorted(inverse[order], np.arange(len(ids))), axis=0) * scale
-            squares[0][ids] += g * g
-            self.x[ids] -= now * g / np.sqrt(squares[0][ids])
+                self._descend(parameters[k], squares[k], grads[k], scale, now)
+            used = inputs[go]
+            order = np.argsort(used.astype(np.uint16) if len(self.x) <= 1 << 16 else used, kind="stable")
+            used = used[order]
+            starts = np.flatnonzero(np.diff(used, prepend=-1))
+            ids = used[starts]
+            g = np.add.reduceat(d_inputs[go][order], starts, axis=0)
+            own, own_squares = self.x[ids], squares[0][ids]
+            self._descend(own, own_squares, g, scale, now)
+            self.x[ids], squares[0][ids] = own, own_squares
         return len(tokens)

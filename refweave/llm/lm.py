@@ -2,8 +2,8 @@
 
 1. Words of all training documents are counted (by 64-bit hash), as partial sums of tasks and then by shuffle.
 2. The commonest words make the recurrent model's vocabulary; a bounded number of common words and their counts goes to all tasks.
-3. The recurrent model begins on a bounded sample on the driver. Then tasks all over the cluster learn from one in ``LEARN_ONE_IN`` of the
-   training documents, each on its own, and their changes are averaged by the number of tokens; so what it learns from grows with the corpus.
+3. The recurrent model begins on a bounded sample on the driver. Then tasks all over the cluster learn from all training documents, each on
+   its own, and their changes are averaged by the number of tokens.
 4. Tasks run the model over every document, its state carried from the first word to the last. Words that are not among the common ones are
    joined to their counts by shuffle and added.
 
@@ -29,7 +29,7 @@ VOCABULARY = 4096
 #: Common words, whose counts every task gets: 16 bytes each.
 COMMON = 100_000
 START_DOCS, START_PASSES, MAX_CHARS = 800, 2, 50_000
-LEARN_ONE_IN, RATE = 4, 0.1
+RATE = 0.1
 #: Partitions of the corpus whose learning documents one task takes, so that a task learns enough before changes are averaged.
 PARTITIONS_A_TASK = 6
 #: Tokens that a task scores at once.
@@ -137,7 +137,7 @@ def start_model(training: DataFrame, lexicon: Lexicon) -> Model:
 
 
 def learn_everywhere(training: DataFrame, lexicon: Lexicon, model: Model) -> Model:
-    """Averages what tasks, starting from ``model``, learn from a fixed share of all training documents."""
+    """Averages what tasks, starting from ``model``, learn from all training documents."""
     start = model.flat()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +175,8 @@ def learn_everywhere(training: DataFrame, lexicon: Lexicon, model: Model) -> Mod
                 seen[k] = seen.get(k, 0) + batch.column(1)[i].as_py()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([seen[k] for k in total], pa.int64()), pa.array([(total[k] / seen[k]).tolist() for k in total], pa.list_(pa.float64()))], names=["chunk", "n", "change"])
 
-    share = training.where(F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.lit(LEARN_ONE_IN)) == 0).select("text")
     tasks = max(1, -(-training.rdd.getNumPartitions() // PARTITIONS_A_TASK))
-    learned = share.coalesce(tasks).mapInArrow(learn, "chunk int, n long, change array<float>")
+    learned = training.select("text").coalesce(tasks).mapInArrow(learn, "chunk int, n long, change array<float>")
     rows = learned.repartition("chunk").mapInArrow(add, "chunk int, n long, change array<double>").toArrow()
     flat = start.astype(np.float64)
     for k, change in zip(rows.column("chunk").to_pylist(), rows.column("change")):

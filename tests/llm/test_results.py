@@ -273,6 +273,19 @@ def test_language_model_base_by_hand(spark):
     assert sum(r.score - r.base_score for r in out if r.held_out) > 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    """Whichever training documents there are, the model learns from them: none is left out by its id."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.range(48).select(F.col("id").alias("doc_id"), F.lit(" ".join(words)).alias("text"))
+    lexicon = lm.make_lexicon(lm.count_words(docs), docs)
+    start = gru.Model(lexicon.id_counts, lm.SEED)
+    for k in range(4):
+        part = docs.where(F.pmod(F.xxhash64(F.lit(lm.SEED + 1), F.col("doc_id")), F.lit(4)) == k)
+        assert part.count() and not np.array_equal(lm.learn_everywhere(part, lexicon, start).flat(), start.flat()), k
+
+
 def test_language_model_is_a_distribution():
     """Probabilities of all words after any state add up to 1, and a document's score doesn't depend on its neighbours or its batch."""
     rng = np.random.default_rng(2)
