@@ -22,9 +22,11 @@ FACTORS = 4
 #: Lengths of the prefixes, in code points, of terms longer than that.
 PREFIXES = (4, 5)
 PER_CLASS, MAX_CHARS = 3000, 50_000
-EPOCHS, RATE, DECAY = 20, 0.1, 1e-4
-#: A term takes part if so many sampled documents have it and its number of toxic ones is so many deviations from what chance gives.
-LEAST_DOCS, LEAST_DEVIATION = 2, 3.0
+EPOCHS, RATE = 20, 0.3
+#: A weight is drawn to zero by so many deviations of the mean gradient that a term of its number of documents has by chance; a factor likewise.
+SHRINK, SHRINK_PAIRS = 2.0, 2.5
+#: A term takes part if so many sampled documents have it. Whether it says anything, alone or in a pair, is for learning to find.
+LEAST_DOCS = 2
 FOLDS, FOLD = 5, 0
 CUT = 0.5
 SEED = 7
@@ -52,12 +54,6 @@ def terms(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None)
     return both & ((1 << BITS) - 1), np.searchsorted(of, np.arange(len(offsets)))
 
 
-def association(docs: np.ndarray, toxic: np.ndarray, n_docs: int, n_toxic: int) -> np.ndarray:
-    """How many deviations the number of toxic documents with a term is from that expected of so many documents."""
-    share = n_toxic / n_docs
-    return np.abs(toxic - docs * share) / np.sqrt(docs * share * (1 - share) + 0.5)
-
-
 class Machine:
     def __init__(self, weight: np.ndarray, factor: np.ndarray, known: np.ndarray, bias: float):
         self.weight, self.factor, self.known, self.bias = weight, factor, known, bias
@@ -74,7 +70,8 @@ class Machine:
 
 
 def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], seed: int = SEED) -> Machine:
-    """Stochastic gradient descent with per-parameter rates (squared gradients summed). The bias is shifted to the labels' own frequencies.
+    """Stochastic gradient descent with per-parameter rates (squared gradients summed). Weights are averaged duals: a term keeps none while its
+    summed gradients stay within ``SHRINK``; its factors shrink at each step. The bias is shifted to the labels' own frequencies.
     With one label only, or none, all scores are that label's (none: 0)."""
     weight, factor = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
     known = np.zeros(1 << BITS, bool)
@@ -85,12 +82,14 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], see
     for i in range(len(labels)):
         rows.append(terms(*buffer_of(texts.slice(i, 1)))[0])
     docs = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    toxic = np.bincount(np.concatenate([r for r, k in zip(rows, labels) if k == 1]), minlength=1 << BITS)
-    known = (docs >= LEAST_DOCS) & (association(docs, toxic, len(labels), seen[1]) >= LEAST_DEVIATION)
+    known = docs >= LEAST_DOCS
     rows = [r[known[r]] for r in rows]
     rng = np.random.default_rng(seed)
     factor[known] = rng.normal(0, 0.01, (int(known.sum()), FACTORS))
     weight2, factor2, bias, bias2 = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32), 0.0, 1e-2
+    share = seen[1] / len(labels)
+    chance = (0.25 / np.sqrt(share * (1 - share) * np.maximum(docs, 1))).astype(np.float32)
+    dual, visits = np.zeros(1 << BITS, np.float32), docs.astype(np.float32)
     balance = [len(labels) / (2 * n) for n in seen]
     for _ in range(EPOCHS):
         for i in rng.permutation(len(labels)):
@@ -99,12 +98,17 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], see
             total = f.sum(axis=0)
             odds = bias + weight[ids].sum() + 0.5 * float((total * total - (f * f).sum(axis=0)).sum())
             g = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[i]) * balance[labels[i]]
-            gw = g + DECAY * weight[ids]
-            weight2[ids] += gw * gw
-            weight[ids] -= RATE * gw / np.sqrt(weight2[ids])
-            gf = g * (total - f) + DECAY * f
+            weight2[ids] += g * g
+            dual[ids] += g
+            visits[ids] += 1
+            left = np.maximum(np.abs(dual[ids]) - SHRINK * chance[ids] * visits[ids], 0)
+            weight[ids] = -RATE * np.sign(dual[ids]) * left / np.sqrt(weight2[ids])
+            others = total - f
+            gf = g * others
             factor2[ids] += gf * gf
-            factor[ids] -= 0.1 * RATE * gf / np.sqrt(factor2[ids])
+            step = 0.1 * RATE / np.sqrt(factor2[ids])
+            f = f - step * gf
+            factor[ids] = np.sign(f) * np.maximum(np.abs(f) - step * SHRINK_PAIRS * chance[ids][:, None] * np.abs(others), 0)
             bias2 += g * g
             bias -= RATE * g / np.sqrt(bias2)
     prior = np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0)))

@@ -259,6 +259,20 @@ def test_toxicity_held_out_and_pairs(spark):
     assert float((total[0] * total[1]).sum()) != 0
 
 
+def test_toxicity_hears_pairs_and_rare_terms_that_one_term_counts_hide():
+    rng = random.Random(4)
+    noise = lambda: [f"n{rng.randrange(50)}" for _ in range(8)]
+    # Each of the two is as frequent in clean as in toxic documents.
+    kinds = [(["insult", "group"], 1), (["slur"], 1), (["insult"], 0), (["group"], 0)] * 200
+    machine = toxicity.train(pa.chunked_array([[" ".join(noise() + w) for w, _ in kinds]]), np.array([y for _, y in kinds]), {0: 400, 1: 400})
+    alone = machine.score(pa.array(["n1 n2 insult", "n1 n2 group", "n1 n2 insult group"]))
+    assert max(alone[:2]) < 0.5 < alone[2]
+    # Ten toxic documents of 6000, and no clean one, have the rare slur.
+    kinds = [([["clear"], []][y < 1] if i >= 20 else ["rareslur"] * y, y) for i in range(6000) for y in [i % 2]]
+    machine = toxicity.train(pa.chunked_array([[" ".join(noise() + w) for w, _ in kinds]]), np.array([y for _, y in kinds]), {0: 3000, 1: 3000})
+    assert machine.score(pa.array(["n1 n2 n3"]))[0] < 0.5 < machine.score(pa.array(["n1 n2 n3 rareslur"]))[0]
+
+
 def test_language_model_base_by_hand(spark):
     low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
     tokens = {r.doc_id: re.findall(WORD, low(r.text)) + [None] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
