@@ -2,7 +2,8 @@
 
 Windows of a document as long as a benchmark item get a SimHash fingerprint of their weighted word shingles. Blocks of the fingerprints are
 joined (``radius`` + 1 blocks, so that fingerprints within the radius agree in one at least), pairs within the radius are candidates, and the
-weighted Jaccard similarity of the shingles decides. A shingle's weight is its number of occurrences.
+weighted Jaccard similarity of the shingles decides. A shingle's weight is its number of occurrences. The radius holds for distinct shingles only;
+where a window or an item repeats one, all pairs that share a shingle are candidates.
 
 A window can only be similar to an item if it shares a shingle with it. So fingerprints are made of exactly those windows that line up with
 an item of their length on a shared shingle, wherever in a document it is; no other window can pass.
@@ -87,6 +88,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return found
 
 
+def _repeated(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(_k1, _k2, _len, _start, _item_row): pairs that share a shingle, of which one repeats a shingle."""
+
+    def repeats(of: str) -> Column:
+        return F.size(F.array_distinct(of)) < F.size(of)
+
+    parts = items.select("_item_row", "_len", repeats("_item").alias("_again"), F.explode(F.array_distinct("_item")).alias("_sh"))
+    some = parts.where("_again")
+    plain = windows.where(~repeats("_win")).join(sized(cut(some.select("_len").distinct())), "_len", "left_semi")
+    pairs = None
+    for own, others in ((windows.where(repeats("_win")), parts), (plain, some)):
+        spread = own.select("_k1", "_k2", "_len", "_start", F.explode(F.array_distinct("_win")).alias("_sh"))
+        met = spread.join(sized(cut(others)), ["_len", "_sh"]).select("_k1", "_k2", "_len", "_start", "_item_row")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
+
+
 def _leaks(docs: DataFrame, items: DataFrame, size: int, threshold: float, radius: int) -> DataFrame:
     items = cut(items.select("*", simhash(F.col("_item")).alias("_print"), F.monotonically_increasing_id().alias("_item_row")))
     anchors = cut(items.select("_len", F.posexplode("_item").alias("_off", "_sh")).groupBy("_sh").agg(F.collect_set(F.struct("_len", "_off")).alias("_spots")))
@@ -106,7 +124,7 @@ def _leaks(docs: DataFrame, items: DataFrame, size: int, threshold: float, radiu
     left = printed.select("_k1", "_k2", "_len", "_start", F.col("_print").alias("_p"), block)
     right = items.select("_item_row", "_len", F.col("_print").alias("_q"), F.inline(blocks(F.col("_print"), radius)))
     near = left.join(sized(right), ["_len", "block", "value"]).where(F.bit_count(F.col("_p").bitwiseXOR(F.col("_q"))) <= radius)
-    pairs = near.select("_k1", "_k2", "_len", "_start", "_item_row").distinct()
+    pairs = near.select("_k1", "_k2", "_len", "_start", "_item_row").unionByName(_repeated(printed, items)).distinct()
     sets = items.select("_item_row", "item_id", "_item")
     checked = pairs.join(printed.select("_k1", "_k2", "doc_id", "_len", "_start", "_win"), ["_k1", "_k2", "_len", "_start"]).join(sized(sets), "_item_row")
     similar = checked.withColumn("_sim", weighted_jaccard(F.col("_win"), F.col("_item"))).where(F.col("_sim") >= threshold)

@@ -148,6 +148,17 @@ def test_leaks_with_edits(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame, benchmark).collect()) == [4, 5, 6]
 
 
+def test_leaks_with_repeated_words(spark):
+    """Passages of 200 words that end in a run of one word, and items that do: similar enough, though fingerprints are far apart."""
+    item = lambda k: [f"b{k}x{i}" for i in range(200)]
+    tail = lambda k: item(k)[:179] + ["junk"] * 21
+    docs = [(k, " ".join(tail(k) if k < 6 else item(k))) for k in range(12)]
+    items = [(k, " ".join(item(k) if k < 6 else tail(k))) for k in range(12)]
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame, benchmark).collect()}
+    assert set(got) == {(k, k) for k in range(12)} and all(near(s, 175 / 217) for s in got.values())
+
+
 def test_blocks_find_all_within_radius(spark):
     rng = np.random.default_rng(1)
     pairs = []
