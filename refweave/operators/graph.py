@@ -6,6 +6,9 @@ ids with repeats. Loops carry integer keys only and write their state to the sha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import cut, ranked
@@ -51,7 +54,15 @@ def _width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def forward_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, visited: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def _rounds(most: int | None) -> Iterator[int]:
+    """1, 2, ... for a loop that ends by itself; beyond ``most``, if given, an error, as what is left would be missing."""
+    for k in count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"not at an end after {most} rounds")
+        yield k
+
+
+def forward_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, visited: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(part, id, round) of all that each part's seeds reach over ``edges(src, dst)``, all parts at once; seeds have round 0.
 
     Nothing goes through ``blocked(id)``, nor into it, nor again to what a part has ``visited(part, id)``. Cycles end, as what a part has
@@ -65,7 +76,7 @@ def forward_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | Non
         start = start.join(visited, ["part", "id"], "left_anti")
     newest = cut(start.withColumn("round", F.lit(0)))
     levels = [newest]
-    for k in range(1, max_rounds):
+    for k in _rounds(max_rounds):
         reached = newest.select("part", "id").join(edges, newest["id"] == edges["src"]).select("part", F.col("dst").alias("id")).distinct()
         known = levels[0].select("part", "id")
         for level in levels[1:] + ([visited.select("part", "id")] if visited is not None else []):
@@ -136,12 +147,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()).distinct()
 
 
-def propagate(edges: DataFrame, owned: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def propagate(edges: DataFrame, owned: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, owner, round): owners spread over ``edges(row, a, b)`` in both directions to ids that have none. Of several that reach an id in its
     first round, the edge with the least row wins."""
     both = edges.select("row", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select("row", F.col("b").alias("x"), F.col("a").alias("y")))
     seen = cut(owned.select("id", "owner").withColumn("round", F.lit(0)))
-    for k in range(1, max_rounds):
+    for k in _rounds(max_rounds):
         newest = seen.where(F.col("round") == k - 1)
         offered = newest.join(both, newest["id"] == both["x"]).groupBy(F.col("y").alias("id")).agg(F.min_by("owner", F.struct("row", "owner")).alias("owner"))
         fresh = cut(offered.join(seen.select("id"), "id", "left_anti").withColumn("round", F.lit(k)))
@@ -188,13 +199,13 @@ def keep_ancestors(all_paths: DataFrame, selected: DataFrame) -> DataFrame:
     return all_paths.join(selected.select("id"), "id", "left_semi").select(F.explode("path").alias("id")).distinct()
 
 
-def bijection(pairs: DataFrame, left: DataFrame, right: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, bool]:
+def bijection(pairs: DataFrame, left: DataFrame, right: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, bool]:
     """(a, b) pairs that a simultaneous walk of two graphs from ``pairs(a, b)`` meets, by equal positions, and whether they are one to one.
 
     ``left`` and ``right``: (src, pos, dst, label); labels of the sources must agree and so must the positions that they have.
     """
     seen = cut(pairs.select("a", "b").distinct().withColumn("round", F.lit(0)))
-    for k in range(1, max_rounds):
+    for k in _rounds(max_rounds):
         newest = seen.where(F.col("round") == k - 1)
         one = newest.join(left.select(F.col("src").alias("a"), "pos", F.col("dst").alias("x"), F.col("label").alias("la")), "a")
         two = newest.join(right.select(F.col("src").alias("b"), "pos", F.col("dst").alias("y"), F.col("label").alias("lb")), "b")

@@ -184,3 +184,16 @@ def test_ranks_and_quantiles(spark):
         own = [r for r in ranks if r.k == k]
         assert sorted(r.r for r in own) == list(range(1, len(own) + 1)) and {r.n for r in own} == {len(own)}
     assert graph.tree_lines(spark.createDataFrame([(0, i) for i in range(20)] + [(1, i) for i in range(12)], "parent long, child long")).groupBy("parent", "hidden").count().orderBy("parent").collect() == [(0, 12, 8), (1, 0, 12)]
+
+
+def test_loops_end_by_themselves_or_fail(spark):
+    """A chain longer than the cap is an error, never a part of the result; without a cap it is followed to its end."""
+    chain = [(i, i + 1) for i in range(6)]
+    edges, seeds = spark.createDataFrame(chain, "src long, dst long"), spark.createDataFrame([(0, 0)], "part long, id long")
+    spread, owned = spark.createDataFrame([(a, a, b) for a, b in chain], "row long, a long, b long"), spark.createDataFrame([(0, 9)], "id long, owner long")
+    side, start = spark.createDataFrame([(a, 0, b, "x") for a, b in chain], "src long, pos long, dst long, label string"), spark.createDataFrame([(0, 0)], "a long, b long")
+    calls = [lambda **k: graph.forward_closure(edges, seeds, **k), lambda **k: graph.propagate(spread, owned, **k), lambda **k: graph.bijection(start, side, side, **k)[0]]
+    for call in calls:
+        with pytest.raises(RuntimeError, match="3 rounds"):
+            call(max_rounds=3)
+        assert call().count() == call(max_rounds=7).count() == 7
