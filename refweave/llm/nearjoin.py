@@ -133,10 +133,10 @@ def overlap_cell(values: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray
     return np.rint(shared).astype(np.int64)
 
 
-def compare_cell(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, mask: int, bands: np.ndarray, values: np.ndarray, of: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def compare_cell(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, mask: list[int], bands: np.ndarray, values: np.ndarray, of: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each member of a cell, weighted by copies, and edges that connect what its links connect.
 
-    ``side`` is 0 or 1; where all are 0 the cell is a block against itself. ``mask``: the bands whose bucket this is; a pair counts here if
+    ``side`` is 0 or 1; where all are 0 the cell is a block against itself. ``mask``: the bands whose bucket this is, 64 a number; a pair counts here if
     the first band that it shares is one of them. ``values``, ``of``: the n-gram sets end to end.
     """
     n = len(rep)
@@ -153,7 +153,7 @@ def compare_cell(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, mask: in
         similar = np.triu(similar, 1)
     a, b = np.nonzero(similar)
     a, b = left[a], right[b]
-    inside = np.array([mask >> k & 1 for k in range(bands.shape[1])], bool)
+    inside = np.array([mask[k // 64] >> k % 64 & 1 for k in range(bands.shape[1])], bool)
     here = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 14):
         p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
@@ -241,8 +241,9 @@ def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, rec
     keys = members.select("_rep", F.posexplode("_bands").alias("_band", "_key"))
     buckets = keys.groupBy("_band", "_key").agg(F.count("*").alias("_m"), F.bit_xor(F.xxhash64(F.lit(2), "_rep")).alias("_s1"), F.bit_xor(F.xxhash64(F.lit(3), "_rep")).alias("_s2")).where("_m > 1")
     buckets = cut(buckets)
+    mask = [F.expr(f"bit_or(if(_band div 64 = {k}, shiftleft(1L, _band % 64), 0L))") for k in range(-(-bands // 64))]
     merged = cut(
-        buckets.groupBy("_m", "_s1", "_s2").agg(F.min(F.struct("_band", "_key")).alias("_name"), F.expr("bit_or(shiftleft(1L, _band))").alias("_mask"))
+        buckets.groupBy("_m", "_s1", "_s2").agg(F.min(F.struct("_band", "_key")).alias("_name"), F.array(*mask).alias("_mask"))
         .select("_name.*", "_m", "_mask").withColumn("_bucket", F.xxhash64("_band", "_key")).withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
     )
     inside = keys.join(merged, ["_band", "_key"]).select("_rep", "_bucket", "_mask", "_blocks", F.pmod(F.xxhash64(F.lit(5), "_rep"), F.col("_blocks")).cast("int").alias("_block"))

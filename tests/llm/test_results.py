@@ -128,6 +128,30 @@ def test_jaccard_join_of_large_group(spark, monkeypatch):
     assert kept == sorted({c for c, _ in classes_by_hand(texts).values()})
 
 
+def test_jaccard_join_with_many_bands(spark):
+    """A lower threshold needs more than 64 bands."""
+    assert nearjoin.choose_bands(0.6)[0] > 64
+    rng = random.Random(6)
+    texts = {}
+    for i in range(240):
+        if i % 2 == 0:
+            words = [f"w{i}x{k}" for k in range(80)]
+        else:
+            words = list(words)
+            words[: 14 + rng.randrange(10)] = [f"y{i}"]
+        texts[i] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nearjoin.link_near(frame, 0.6).collect()}
+    assert got == classes_by_hand(texts, 0.6)
+    # Pairs are counted by their first shared band, wherever it is.
+    bands = np.array([[2 * k, 2 * k + 1] for k in range(100)]).T.copy()
+    bands[:, 70] = 7
+    values, of = np.array([1, 2, 3, 1, 2, 3]), np.array([0, 3, 6])
+    for own, want in ((70, [1, 1]), (6, [0, 0])):
+        mask = [(1 << own) if own < 64 else 0, (1 << own - 64) if own >= 64 else 0]
+        assert nearjoin.compare_cell(np.arange(2), np.ones(2, int), np.zeros(2, int), mask, bands, values, of, 0.6)[0].tolist() == want
+
+
 def test_bands_reach_recall():
     bands, rows = nearjoin.choose_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= nearjoin.RECALL and 1 - (1 - 0.4**rows) ** bands <= nearjoin.NOISE
