@@ -11,7 +11,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..shared import cut, ranked
+from ..shared import cut, ranked, sized
 
 
 def references(entities: DataFrame) -> DataFrame:
@@ -128,23 +128,32 @@ def policy_closure(edges: DataFrame, seeds: DataFrame, keyed: DataFrame, listed:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, root): for each vertex of an edge the least vertex that it is connected to, by alternating large-star and small-star steps."""
-    current = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        current = cut(small)
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if state == before:
+    """(id, root): for each vertex of an edge the least vertex that it is connected to.
+
+    In each round every vertex joins the neighbour, or itself, that comes first in a random order of that round, and edges between what has
+    joined are all that stays; paths halve, and a star is done in one round. It ends when no edge is left. A vertex of very many edges is
+    summed up in the map stage, and joins beyond broadcasts have no aggregate on either side, so that Spark can split its rows.
+    """
+    current = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    joined: list[DataFrame] = []
+    for k in count(1):
+        if current.isEmpty():
             break
-        before = state
-    found = current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-    return found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()).distinct()
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        place = F.xxhash64(F.lit(k), "v")
+        first = both.groupBy("u").agg(F.min_by("v", place).alias("m"), F.min(place).alias("p"))
+        step = cut(first.select("u", F.when(F.col("p") < F.xxhash64(F.lit(k), "u"), F.col("m")).otherwise(F.col("u")).alias("to")))
+        joined.append(step)
+        near = sized(step)
+        ends = current.join(near.select("u", F.col("to").alias("x")), "u").join(near.select(F.col("u").alias("v"), F.col("to").alias("y")), "v")
+        current = cut(ends.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+    if not joined:
+        return current.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    last = joined[-1]
+    for step in joined[-2::-1]:
+        last = cut(step.join(sized(last.select(F.col("u").alias("to"), F.col("to").alias("_on"))), "to", "left").select("u", F.coalesce("_on", "to").alias("to")))
+    least = cut(last.groupBy("to").agg(F.min("u").alias("root")))
+    return last.join(sized(least), "to").select(F.col("u").alias("id"), "root")
 
 
 def propagate(edges: DataFrame, owned: DataFrame, max_rounds: int | None = None) -> DataFrame:
