@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
-from .common import cut, table
+from .common import cut, row_key, sized, table
 from .textvec import U64, Words, buffer_of, mix, pieces
 
 WORDS = 5
@@ -87,7 +87,7 @@ def _sign(bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                grams, of = ngram_sets(*buffer_of(piece.column(2)), n)
+                grams, of = ngram_sets(*buffer_of(piece.column(3)), n)
                 sign = signatures(grams, of, bands, rows)
                 sums = np.zeros(len(grams) + 1, U64)
                 np.cumsum(mix(grams ^ U64(0x5BD1E995)), out=sums[1:], dtype=U64)
@@ -96,8 +96,8 @@ def _sign(bands: int, rows: int, n: int):
                 flat = pa.array(sign.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, bands, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array((sums[of[1:]] - sums[of[:-1]]).view(np.int64)), pa.array((more[of[1:]] - more[of[:-1]]).view(np.int64)), pa.array(np.diff(of)), lists],
-                    names=["_row", "doc_id", "_f1", "_f2", "_n", "_bands"],
+                    [piece.column(0), piece.column(1), piece.column(2), pa.array((sums[of[1:]] - sums[of[:-1]]).view(np.int64)), pa.array((more[of[1:]] - more[of[:-1]]).view(np.int64)), pa.array(np.diff(of)), lists],
+                    names=["_k1", "_k2", "doc_id", "_f1", "_f2", "_n", "_bands"],
                 )
 
     return run
@@ -226,7 +226,7 @@ def _compare(threshold: float):
 
 
 def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """(_row, doc_id, class_id, n_links, is_first): one row per row of ``docs``.
+    """(_k1, _k2, doc_id, class_id, n_links, is_first): one row per row of ``docs``, with its 128-bit ``row_key``.
 
     Two rows are linked if the sets of their n-word runs have a Jaccard similarity of ``threshold`` or more; texts of 1 to n - 1 words have
     one run. A null, empty or blank text has none and links to nothing. n_links: rows linked to this one. class_id: the least doc_id of all
@@ -234,22 +234,26 @@ def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, rec
     of its class (equal rows share it). Repeated rows are linked rows. Other columns go. An empty table gives an empty result.
     """
     bands, rows = choose_bands(threshold, recall)
-    numbered = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "text")
-    signed = cut(numbered.mapInArrow(_sign(bands, rows, n), f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, _f1 long, _f2 long, _n long, _bands array<long>"))
-    # A member: all rows with one n-gram set. Its name is the least row hash.
-    members = cut(signed.where("_n > 0").groupBy("_f1", "_f2", "_n").agg(F.min("_row").alias("_rep"), F.count("*").alias("_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("_least"), F.min("_bands").alias("_bands")))
+    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
+    signed = cut(keyed.mapInArrow(_sign(bands, rows, n), f"_k1 long, _k2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, _f1 long, _f2 long, _n long, _bands array<long>"))
+    # A member: all rows with one n-gram set. Its name is a number that no other member has, fixed as it is written.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")).alias("_least")
+    members = signed.where("_n > 0").groupBy("_f1", "_f2", "_n").agg(F.count("*").alias("_copies"), least, F.min("_bands").alias("_bands"))
+    members = cut(members.withColumn("_rep", F.monotonically_increasing_id()))
     keys = members.select("_rep", F.posexplode("_bands").alias("_band", "_key"))
     buckets = keys.groupBy("_band", "_key").agg(F.count("*").alias("_m"), F.bit_xor(F.xxhash64(F.lit(2), "_rep")).alias("_s1"), F.bit_xor(F.xxhash64(F.lit(3), "_rep")).alias("_s2")).where("_m > 1")
     buckets = cut(buckets)
     mask = [F.expr(f"bit_or(if(_band div 64 = {k}, shiftleft(1L, _band % 64), 0L))") for k in range(-(-bands // 64))]
     merged = cut(
         buckets.groupBy("_m", "_s1", "_s2").agg(F.min(F.struct("_band", "_key")).alias("_name"), F.array(*mask).alias("_mask"))
-        .select("_name.*", "_m", "_mask").withColumn("_bucket", F.xxhash64("_band", "_key")).withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
+        .select("_name.*", "_m", "_mask", F.monotonically_increasing_id().alias("_bucket"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks"))
     )
-    inside = keys.join(merged, ["_band", "_key"]).select("_rep", "_bucket", "_mask", "_blocks", F.pmod(F.xxhash64(F.lit(5), "_rep"), F.col("_blocks")).cast("int").alias("_block"))
+    inside = keys.join(sized(merged), ["_band", "_key"]).select("_rep", "_bucket", "_mask", "_blocks", F.pmod(F.xxhash64(F.lit(5), "_rep"), F.col("_blocks")).cast("int").alias("_block"))
     inside = cut(inside)
-    wanted = cut(inside.select("_rep").distinct())
-    texts = numbered.join(wanted, numbered["_row"] == wanted["_rep"], "left_semi").dropDuplicates(["_row"]).select(F.col("_row"), "text")
+    wanted = members.join(sized(cut(inside.select("_rep").distinct())), "_rep", "left_semi")
+    source = cut(wanted.select("_rep", F.col("_least._k1").alias("_k1"), F.col("_least._k2").alias("_k2")))
+    # By _rep, not by the join's keys: a row that is repeated very often is cut down before the shuffle, and the join's rows can be split.
+    texts = keyed.select("_k1", "_k2", "text").join(sized(source), ["_k1", "_k2"]).select("_rep", "text").dropDuplicates(["_rep"])
     sets = texts.mapInArrow(_sets(n), "_rep long, _set array<long>")
     profile = members.select("_rep", "_copies", "_bands").join(sets, "_rep")
     cells = inside.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
@@ -259,30 +263,36 @@ def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, rec
     dealt = dealt.repartition("_bucket", "_x", "_y").sortWithinPartitions("_bucket", "_x", "_y")
     compared = cut(dealt.mapInArrow(_compare(threshold), "_a long, _b long, _links long"))
     links = compared.where("_links is not null").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_links").alias("_other_links"))
-    rooted = components(compared.where("_b is not null").select("_a", "_b"), "_a", "_b").toDF("_a", "_root")
-    placed = members.join(links, "_rep", "left").join(rooted, members["_rep"] == rooted["_a"], "left").select("_f1", "_f2", "_n", "_least", "_copies", F.coalesce("_root", "_rep").alias("_root"), (F.coalesce("_other_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
+    rooted = components(compared.where("_b is not null").select("_a", "_b"), "_a", "_b").toDF("_rep", "_root")
+    found = cut(links.join(rooted, "_rep", "full_outer"))
+    placed = members.join(sized(found), "_rep", "left").select("_f1", "_f2", "_n", "_least", F.coalesce("_root", "_rep").alias("_root"), (F.coalesce("_other_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
     placed = cut(placed)
-    heads = placed.groupBy("_root").agg(F.min("_least").alias("_head"))
-    classed = placed.join(heads, "_root").select("_f1", "_f2", "_n", "_head", "n_links")
-    joined = signed.select("_row", "doc_id", "_f1", "_f2", "_n").join(classed, ["_f1", "_f2", "_n"], "left")
+    heads = cut(placed.groupBy("_root").agg(F.min("_least").alias("_head"), F.count("*").alias("_size")).where("_size > 1").drop("_size"))
+    classed = placed.join(sized(heads), "_root", "left").select("_f1", "_f2", "_n", F.coalesce("_head", "_least").alias("_head"), "n_links")
+    joined = signed.select("_k1", "_k2", "doc_id", "_f1", "_f2", "_n").join(classed, ["_f1", "_f2", "_n"], "left")
     alone = F.col("_n") == 0
     return joined.select(
-        "_row",
+        "_k1",
+        "_k2",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("_head.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (alone | (F.col("_row") == F.col("_head._row"))).alias("is_first"),
+        (alone | ((F.col("_k1") == F.col("_head._k1")) & (F.col("_k2") == F.col("_head._k2")))).alias("is_first"),
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but the first of each class of ``link_near``. A column named _row is replaced."""
-    firsts = cut(link_near(docs, threshold, n, recall).where("is_first").groupBy("_row").agg(F.count("*").alias("_rows")))
-    names = [c for c in docs.columns if c != "_row"]
-    kept = docs.select(*names, F.xxhash64("doc_id", "text").alias("_row")).join(firsts.select("_row"), "_row", "left_semi")
-    if firsts.where("_rows > 1").limit(1).count():  # equal rows: one of them stays
-        kept = kept.dropDuplicates(["_row"])
-    return kept.select(*names)
+    """The rows of ``docs``, all columns, without all but the first of each class of ``link_near``; equal rows are one. Columns named _k1 and
+    _k2 are replaced. Texts go through a shuffle only where equal rows are thinned to one, or where too many rows go for a broadcast."""
+    rows = link_near(docs, threshold, n, recall).groupBy("_k1", "_k2").agg(F.count("*").alias("_rows"), F.min("is_first").alias("_first"))
+    others = cut(rows.where("_rows > 1 or not _first").withColumn("_which", F.monotonically_increasing_id()))
+    names = [c for c in docs.columns if c not in ("_k1", "_k2")]
+    keyed = docs.select(*names, *row_key(F.col("doc_id"), F.col("text")))
+    kept = keyed.join(sized(others.select("_k1", "_k2")), ["_k1", "_k2"], "left_anti").select(*names)
+    again = others.where("_first").select("_k1", "_k2", "_which")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(keyed.join(sized(again), ["_k1", "_k2"]).dropDuplicates(["_which"]).select(*names))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
