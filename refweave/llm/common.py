@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shared import BROADCAST_ROWS, cut, shared_folder, sized, table
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
+__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "learn_in_task", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
 
+T = TypeVar("T")
 #: Word separators; words are ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -43,12 +50,25 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, per_class: int, max_chars: int, seed: int):
-    """(texts, labels, sizes): a sample to learn from, on the driver, of about ``per_class`` documents of each label, and the numbers of
-    labelled rows by label. Only ids outside the held-out fold, and texts of at most ``max_chars``; so it is bounded whatever the input."""
+def learn_in_task(rows: DataFrame, learn: Callable[[pa.Table], T]) -> T:
+    """What ``learn`` makes of all ``rows``, a bounded sample, in one task: the driver holds no more than the outcome, and a lost executor
+    costs a repetition. Rows come in order of doc_id and text, so that every run learns the same."""
+    schema = to_arrow_schema(rows.schema)
+
+    def told(batches: list[pa.RecordBatch]) -> T:
+        return learn(pa.Table.from_batches(batches, schema).sort_by([("doc_id", "ascending"), ("text", "ascending")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(told([b.cast(schema) for b in batches]))], pa.binary())], names=["outcome"])
+
+    out = rows.repartition(1).mapInArrow(run, "outcome binary").collect()  # one row
+    return pickle.loads(out[0][0]) if out else told([])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, per_class: int, max_chars: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """((doc_id, text, label), sizes): a sample to learn from, of about ``per_class`` documents of each label, and the numbers of labelled
+    rows by label. Only ids outside the held-out fold, and texts of at most ``max_chars``; so it is bounded whatever the input."""
     known = labels_of(labels, column).where(bucket(F.col("doc_id"), folds) != fold)
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     drawn = cut(pick(known, "label", per_class, seed))
-    rows = docs.select("doc_id", "text").join(sized(drawn), "doc_id").where(F.length("text") <= max_chars).select("doc_id", "text", "label").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the same order at every run
-    return rows.column("text"), rows.column("label").to_numpy(), sizes
+    return docs.select("doc_id", "text").join(sized(drawn), "doc_id").where(F.length("text") <= max_chars).select("doc_id", "text", "label"), sizes

@@ -2,7 +2,7 @@
 
 A window of bytes becomes learned byte vectors; filters of several widths slide over them, each filter's greatest value in the window
 counts, and a softmax layer turns those into languages. It learns from labelled windows by Adam. A document is cut into windows of one
-fixed length that cover all of it; its language is the one with the greatest sum of log-probabilities.
+fixed length that cover all of it; its language is the one with the greatest sum of probabilities, each weighing as much as its window holds.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, cut, pick, sized, table
+from .common import bucket, cut, learn_in_task, pick, sized, table
 from .textvec import buffer_of, pieces
 
 WINDOW = 128
@@ -156,8 +156,8 @@ def fit(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, per_language: int
     """Learns from a bounded hash sample of the documents outside the held-out fold that have a text and a language."""
     known = docs.where("lang is not null and text is not null").where(bucket(F.col("doc_id"), folds) != fold)
     ids = cut(pick(known.where(F.length("text") <= MAX_CHARS).select("doc_id", "lang"), "lang", per_language, SEED))
-    rows = known.select("doc_id", "text").join(sized(ids.dropDuplicates(["doc_id"])), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(rows.column("text"), rows.column("lang").to_pylist())
+    rows = known.select("doc_id", "text").join(sized(ids.dropDuplicates(["doc_id"])), "doc_id").where(F.length("text") <= MAX_CHARS)
+    return learn_in_task(rows, lambda known: train(known.column("text"), known.column("lang").to_pylist()))
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:

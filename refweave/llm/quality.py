@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, labelled_sample, table
+from .common import bucket, labelled_sample, learn_in_task, table
 from .textvec import U64, Words, buffer_of, mix, pieces, span_hash, sum_by
 
 BITS = 17
@@ -109,7 +109,8 @@ def _score(number: np.ndarray, bias: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    return train(*labelled_sample(docs, labels, "quality", folds, fold, per_class, MAX_CHARS, SEED))
+    rows, sizes = labelled_sample(docs, labels, "quality", folds, fold, per_class, MAX_CHARS, SEED)
+    return learn_in_task(rows, lambda known: train(known.column("text"), known.column("label").to_numpy(), sizes))
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, labelled_sample, table
+from .common import bucket, labelled_sample, learn_in_task, table
 from .textvec import LOWER_VALUE, NOT_TERM, U64, Words, buffer_of, mix, pieces, span_hash, sum_by
 
 BITS = 18
@@ -116,7 +116,8 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], see
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD, per_class: int = PER_CLASS) -> Machine:
-    return train(*labelled_sample(docs, labels, "toxic", folds, fold, per_class, MAX_CHARS, SEED))
+    rows, sizes = labelled_sample(docs, labels, "toxic", folds, fold, per_class, MAX_CHARS, SEED)
+    return learn_in_task(rows, lambda known: train(known.column("text"), known.column("label").to_numpy(), sizes))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
