@@ -1,26 +1,64 @@
 """Benchmark decontamination (DataFrame operations only).
 
-Windows of a document as long as a benchmark item get a SimHash fingerprint of their weighted word shingles. Blocks of the fingerprints are
-joined (``radius`` + 1 blocks, so that fingerprints within the radius agree in one at least), pairs within the radius are candidates, and the
-weighted Jaccard similarity of the shingles decides. A shingle's weight is its number of occurrences. The radius holds for distinct shingles only;
-where a window or an item repeats one, all pairs that share a shingle are candidates.
-
-A window can only be similar to an item if it shares a shingle with it. So fingerprints are made of exactly those windows that line up with
-an item of their length on a shared shingle, wherever in a document it is; no other window can pass.
+Each window of a document that is as long as a benchmark item gets a SimHash fingerprint of its weighted word shingles; votes per bit are
+packed into the lanes of a few numbers and roll from window to window. Fingerprints are cut into blocks. Items are indexed by every value
+of a block that differs from theirs in up to TOLERANCE bits, so that fingerprints within the radius meet in one block at least. Pairs
+within the radius are candidates, and the weighted Jaccard similarity of the shingles decides.
+
+A shingle's weight is its number of occurrences: the second occurrence in a window is a feature of its own, and so on. So the weighted Jaccard
+similarity of two windows is the plain one of their features, and fingerprints of similar windows are near whatever repeats in them.
+A window that is similar to an item shares a shingle with it; so only documents that have a shingle of an item of a length are looked
+through for that length, but then all of their windows of it are.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import partial
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import SPACES, cut, row_key, sized, table
 
 WORDS = 5
 THRESHOLD = 0.8
-BITS = 64
-#: Sets of equal size with a similarity of 0.8 have a cosine of 0.89 or more: 9.7 bits of 64 differ on average, with a deviation of 2.9.
-#: 20 bits are 3.6 deviations above.
-RADIUS = 20
+#: Blocks of a fingerprint, and bits by which a block may differ. Fingerprints that differ in RADIUS bits or fewer have such a block.
+BLOCKS, TOLERANCE = 16, 2
+RADIUS = BLOCKS * (TOLERANCE + 1) - 1
+#: Windows of a document that one row holds on the way, so that a very long document is many rows.
+CHUNK = 256
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How votes are packed: ``lanes`` of ``width`` bits in a number (the top one stays free, for the sign), ``shifts`` numbers a block,
+    ``blocks`` a hash, ``hashes`` a feature. A lane counts to 2 ** (width - 1) - 1, the most shingles of an item.
+
+    Sets of equal size with a similarity of 0.8 have a cosine of 0.89: a bit differs with a chance of 0.15. Of 224 bits 34 differ, with a
+    deviation of 5.4; the radius of 47 is 2.4 deviations above, so at the threshold itself under 1 % are missed, and far fewer above it.
+    """
+
+    width: int
+    lanes: int
+    shifts: int
+    blocks: int
+    hashes: int
+
+    @property
+    def most(self) -> int:
+        return 2 ** (self.width - 1) - 1
+
+    @property
+    def ones(self) -> int:
+        return sum(1 << self.width * k for k in range(self.lanes))
+
+    def block_bits(self) -> list[int]:
+        """Bits of a hash's first block; the others' are ``shifts`` further each."""
+        return sorted(self.width * k + e for k in range(self.lanes) for e in range(self.shifts))
+
+
+LAYOUTS = (Layout(8, 7, 2, 4, 4), Layout(16, 3, 4, 4, 4), Layout(32, 1, 13, 2, 8))
 
 
 def words_of(text: Column) -> Column:
@@ -39,37 +77,103 @@ def shingles(words: Column, size: int) -> Column:
     return F.get(one, F.lit(0))
 
 
-def simhash(features: Column) -> Column:
-    """64 bits: bit b is set if features with bit b outweigh those without; each occurrence weighs 1."""
+def _feature(shingle: Column, occurrence: Column) -> Column:
+    return F.when(occurrence == 1, shingle).otherwise(F.xxhash64(shingle, occurrence))
 
-    def vote(b: Column) -> Column:
-        return F.aggregate(features, F.lit(0), lambda s, x: s + F.when(F.getbit(x, b) == 1, 1).otherwise(-1))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.when(vote(b) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))))
+def _occurrences(of: Column, first, length) -> Column:
+    """Each shingle as a feature: the how-manieth it is, or how many there are, among ``length(i)`` shingles from ``first(i)`` (from 1) on."""
 
+    def one(x: Column, i: Column) -> Column:
+        return _feature(x, F.size(F.filter(F.slice(of, first(i), length(i)), lambda y: y == x)))
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """(block, value) of ``radius`` + 1 blocks that cover the fingerprint."""
-    n = radius + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    return F.when(F.size(F.array_distinct(of)) == F.size(of), of).otherwise(F.transform(of, one))
 
 
-def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Sum of the lesser over sum of the greater counts, over all shingles of either."""
+def features(of: Column) -> Column:
+    """Shingles with repeats as distinct features."""
+    return _occurrences(of, lambda i: F.lit(1), lambda i: i + 1)
 
-    def count(of: Column, x: Column) -> Column:
-        return F.size(F.filter(of, lambda y: y == x))
 
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+def similarity(a: Column, b: Column) -> Column:
+    """Weighted Jaccard similarity of two windows, from their features."""
+    shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+def _rolled(chunks: DataFrame, layout: Layout) -> DataFrame:
+    """``chunks`` (_a: shingles, _m: shingles of the item, _s: shingles of a window) with a row for each window: its _at in the chunk, and the
+    numbers _v0, _v1, ... that hold the votes."""
+    m = F.col("_m")
+    comes = _occurrences(F.col("_a"), lambda i: F.greatest(i - m + 2, F.lit(1)), lambda i: F.least(i + 1, m))
+    goes = _occurrences(F.col("_a"), lambda i: i + 1, lambda i: m)
+    left = chunks.withColumn("_in", comes).withColumn("_out", goes)
+    zero = F.lit(0).cast("bigint")
+
+    def hashes(of: str, before: Column | None = None) -> list[Column]:
+        made = [F.transform(of, partial(lambda t, x: F.xxhash64(x, F.lit(t)), t)) for t in range(layout.hashes)]
+        return made if before is None else [F.slice(F.concat(before, g), 1, F.size(of)) for g in made]
+
+    names = [f"{w}{t}" for w in "io" for t in range(layout.hashes)]
+    waits = F.array_repeat(zero, F.least(m, F.size("_a")).cast("int"))  # a hash of zeros votes for nothing
+    zipped = left.withColumn("_steps", F.arrays_zip(*[c.alias(n) for n, c in zip(names, hashes("_in") + hashes("_out", waits))]))
+    numbers = [(t, k) for t in range(layout.hashes) for k in range(layout.shifts * layout.blocks)]
+
+    def votes(of: Column, k: int) -> Column:
+        return F.shiftrightunsigned(of, k).bitwiseAND(F.lit(layout.ones))
+
+    def step(acc: Column, e: Column) -> Column:
+        now = F.struct(*[(acc["now"][f"_v{j}"] + votes(e[f"i{t}"], k) - votes(e[f"o{t}"], k)).alias(f"_v{j}") for j, (t, k) in enumerate(numbers)])
+        return F.struct(now.alias("now"), F.array_append(acc["all"], acc["now"]).alias("all"))
+
+    none = F.struct(*[zero.alias(f"_v{j}") for j in range(len(numbers))])
+    start = F.struct(none.alias("now"), F.slice(F.array(none), 1, 0).alias("all"))
+    states = F.aggregate("_steps", start, step, lambda acc: F.array_append(acc["all"], acc["now"]))  # the state before each step, and the last
+    ready = zipped.withColumn("_states", F.slice(states, F.col("_s") + 1, F.size("_a") - F.col("_s") + 1)).drop("_steps", "_in", "_out", "_a")
+    kept = [c for c in ready.columns if c != "_states"]
+    return ready.select(*kept, F.posexplode("_states").alias("_at", "_state")).select(*kept, "_at", "_state.*")
+
+
+def fingerprints(chunks: DataFrame, layout: Layout) -> DataFrame:
+    """``chunks`` as for ``_rolled``, without _a, with _at and _p0, _p1, ...: bits that more than half of a window's features have."""
+    rolled = _rolled(chunks, layout)
+    numbers = layout.shifts * layout.blocks
+    # Lanes above half get their top bit.
+    lift = (F.lit(layout.most) - F.floor(F.col("_s") / 2)) * F.lit(layout.ones)
+
+    def one(t: int) -> Column:
+        out = F.lit(0).cast("bigint")
+        for k in range(numbers):
+            top = F.shiftrightunsigned(F.col(f"_v{t * numbers + k}") + F.col("_lift"), layout.width - 1).bitwiseAND(F.lit(layout.ones))
+            out = out.bitwiseOR(F.shiftleft(top, k))
+        return out
+
+    names = [c for c in rolled.columns if not c.startswith("_v")]
+    return rolled.withColumn("_lift", lift.cast("bigint")).select(*names, *[one(t).alias(f"_p{t}") for t in range(layout.hashes)])
+
+
+def _masks(layout: Layout) -> list[int]:
+    """Of the blocks of one hash."""
+    first = sum(1 << b for b in layout.block_bits())
+    return [first << layout.shifts * j for j in range(layout.blocks)]
+
+
+def block_values(layout: Layout) -> Column:
+    """array of (block, value) from _p0, _p1, ..."""
+    return F.array(*[F.struct(F.lit(t * layout.blocks + j).alias("_block"), F.col(f"_p{t}").bitwiseAND(F.lit(mask)).alias("_value")) for t in range(layout.hashes) for j, mask in enumerate(_masks(layout))])
+
+
+def near_values(prints: DataFrame, layout: Layout) -> DataFrame:
+    """``prints`` with a row for each block and each value that differs from its own in up to TOLERANCE bits: _block and _value."""
+    bits = layout.block_bits()
+    changes = [sum(1 << b for b in some) for n in range(TOLERANCE + 1) for some in combinations(bits, n)]
+    spread = prints.withColumn("_b", F.explode(block_values(layout))).withColumn("_change", F.explode(F.array(*[F.lit(c).cast("bigint") for c in changes])))
+    # The same change, moved to the block's own bits.
+    moved = F.call_function("shiftleft", F.col("_change"), F.col("_b._block") % layout.blocks * layout.shifts)
+    return spread.withColumn("_block", F.col("_b._block")).withColumn("_value", F.col("_b._value").bitwiseXOR(moved)).drop("_b", "_change")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(_k1, _k2, doc_id, item_id, similarity, start_word, n_windows): a row for each document and item with a window that is similar enough;
     the best similarity, the first window that has it, and how many windows pass.
 
@@ -77,66 +181,75 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     document shorter than an item is one window. Rows with equal id and text count as one document; a repeated item_id is a further item.
     Null ids are kept. Other columns go. Empty tables give an empty result.
     """
-    items = cut(benchmark.select("item_id", words_of(F.col("text")).alias("_w")).where(F.size("_w") > 0).select("item_id", "_w", F.size("_w").alias("_len"), F.least(F.size("_w"), F.lit(WORDS)).alias("_size")))
+    items = cut(benchmark.select("item_id", words_of(F.col("text")).alias("_w")).where(F.size("_w") > 0).select("item_id", "_w", F.least(F.size("_w"), F.lit(WORDS)).alias("_size"), F.monotonically_increasing_id().alias("_item_row")))
     found = None
     for size in sorted(r[0] for r in items.select("_size").distinct().collect()):  # 1 to 5
-        own = items.where(F.col("_size") == size).select("item_id", "_len", shingles(F.col("_w"), size).alias("_item"))
-        part = _leaks(docs, own, size, threshold, radius)
+        own = cut(items.where(F.col("_size") == size).select("item_id", "_item_row", shingles(F.col("_w"), size).alias("_item")).withColumn("_m", F.size("_item")))
+        part = _leaks(docs, own, size, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id").limit(0).select("_k1", "_k2", "doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("start_word"), F.lit(None).cast("long").alias("n_windows"))
     return found
 
 
-def _repeated(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(_k1, _k2, _len, _start, _item_row): pairs that share a shingle, of which one repeats a shingle."""
-
-    def repeats(of: str) -> Column:
-        return F.size(F.array_distinct(of)) < F.size(of)
-
-    parts = items.select("_item_row", "_len", repeats("_item").alias("_again"), F.explode(F.array_distinct("_item")).alias("_sh"))
-    some = parts.where("_again")
-    plain = windows.where(~repeats("_win")).join(sized(cut(some.select("_len").distinct())), "_len", "left_semi")
-    pairs = None
-    for own, others in ((windows.where(repeats("_win")), parts), (plain, some)):
-        spread = own.select("_k1", "_k2", "_len", "_start", F.explode(F.array_distinct("_win")).alias("_sh"))
-        met = spread.join(sized(cut(others)), ["_len", "_sh"]).select("_k1", "_k2", "_len", "_start", "_item_row")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return pairs
-
-
-def _leaks(docs: DataFrame, items: DataFrame, size: int, threshold: float, radius: int) -> DataFrame:
-    items = cut(items.select("*", simhash(F.col("_item")).alias("_print"), F.monotonically_increasing_id().alias("_item_row")))
-    anchors = cut(items.select("_len", F.posexplode("_item").alias("_off", "_sh")).groupBy("_sh").agg(F.collect_set(F.struct("_len", "_off")).alias("_spots")))
-    keyed = _keyed(docs)
-    listed = keyed.select("_k1", "_k2", shingles(words_of(F.col("text")), size).alias("_all"))
-    met = listed.select("_k1", "_k2", F.size("_all").alias("_n"), F.posexplode("_all").alias("_pos", "_sh")).join(sized(anchors), "_sh")
-    spots = met.select("_k1", "_k2", "_n", "_pos", F.explode("_spots").alias("_spot"))
-    room = F.greatest(F.lit(0), F.col("_n") - (F.col("_spot._len") - size + 1))
-    start = F.greatest(F.lit(0), F.least(F.col("_pos") - F.col("_spot._off"), room))
-    windows = cut(spots.select("_k1", "_k2", F.col("_spot._len").alias("_len"), start.cast("int").alias("_start")).distinct())
-    small = windows.select("_k1", "_k2").distinct()
-    texts = keyed.join(sized(cut(small)), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    shingled = texts.select("_k1", "_k2", "doc_id", shingles(words_of(F.col("text")), size).alias("_all"))
-    cutouts = shingled.join(windows, ["_k1", "_k2"]).select("_k1", "_k2", "doc_id", "_len", "_start", F.slice("_all", F.col("_start") + 1, F.col("_len") - size + 1).alias("_win"))
-    printed = cut(cutouts.withColumn("_print", simhash(F.col("_win"))))
-    block = F.inline(blocks(F.col("_print"), radius))
-    left = printed.select("_k1", "_k2", "_len", "_start", F.col("_print").alias("_p"), block)
-    right = items.select("_item_row", "_len", F.col("_print").alias("_q"), F.inline(blocks(F.col("_print"), radius)))
-    near = left.join(sized(right), ["_len", "block", "value"]).where(F.bit_count(F.col("_p").bitwiseXOR(F.col("_q"))) <= radius)
-    pairs = near.select("_k1", "_k2", "_len", "_start", "_item_row").unionByName(_repeated(printed, items)).distinct()
-    sets = items.select("_item_row", "item_id", "_item")
-    checked = pairs.join(printed.select("_k1", "_k2", "doc_id", "_len", "_start", "_win"), ["_k1", "_k2", "_len", "_start"]).join(sized(sets), "_item_row")
-    similar = checked.withColumn("_sim", weighted_jaccard(F.col("_win"), F.col("_item"))).where(F.col("_sim") >= threshold)
-    best = similar.groupBy("_k1", "_k2", "_item_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.max("_sim").alias("similarity"), F.max(F.struct("_sim", (-F.col("_start")).alias("s"))).alias("_best"), F.count("*").alias("n_windows")
+def suspects(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """((_doc, _k1, _k2, doc_id, _all), (_doc, _m)): documents with a shingle of an item, their shingles, and these items' lengths."""
+    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
+    anchors = cut(items.select("_m", F.explode("_item").alias("_sh")).distinct())
+    listed = keyed.select("_k1", "_k2", F.explode(shingles(words_of(F.col("text")), size)).alias("_sh"))
+    met = cut(listed.join(sized(anchors), "_sh").select("_k1", "_k2", "_m").distinct())
+    numbered = cut(met.select("_k1", "_k2").distinct().withColumn("_doc", F.monotonically_increasing_id()))
+    # By _doc, not by the join's keys: a row that is repeated very often is cut down before the shuffle, and the join's rows can be split.
+    texts = keyed.join(sized(numbered), ["_k1", "_k2"]).dropDuplicates(["_doc"])
+    shingled = cut(texts.select("_doc", "_k1", "_k2", "doc_id", shingles(words_of(F.col("text")), size).alias("_all")))
+    return shingled, cut(met.join(sized(numbered), ["_k1", "_k2"]).select("_doc", "_m"))
+
+
+def candidates(shingled: DataFrame, lengths: DataFrame, items: DataFrame, layout: Layout) -> DataFrame:
+    """(_doc, _start, _item_row): windows and items of one length whose fingerprints differ in RADIUS bits or fewer."""
+    whole = items.select("_item_row", "_m", F.col("_item").alias("_a"), F.col("_m").alias("_s"))
+    prints = cut(fingerprints(whole, layout).drop("_s", "_at"))
+    key = F.xxhash64("_m", "_block", "_value").alias("_key")
+    index = cut(near_values(prints.select("_item_row", "_m", *[f"_p{t}" for t in range(layout.hashes)]), layout).select(key, "_item_row"))
+    n = F.size("_all")
+    room = F.greatest(F.lit(0), n - F.col("_m"))
+    chunks = shingled.join(lengths, "_doc").select("_doc", "_m", F.least(n, "_m").alias("_s"), "_all", F.explode(F.sequence(F.lit(0), room, F.lit(CHUNK))).alias("_c"))
+    cutouts = chunks.select("_doc", "_m", "_s", "_c", F.slice("_all", F.col("_c") + 1, F.col("_m") + (CHUNK - 1)).alias("_a"))
+    width = int(shingled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = fingerprints(cutouts.repartition(width, "_doc", "_m", "_c"), layout).withColumn("_start", F.col("_c") + F.col("_at"))
+    p = [f"_p{t}" for t in range(layout.hashes)]
+    windows = cut(windows.select("_doc", "_m", "_start", *p))  # also keeps the optimizer from copying a fingerprint's expression into each block
+    looked = windows.select("_doc", "_m", "_start", *p, F.inline(block_values(layout))).select("_doc", "_m", "_start", *p, "_block", key)
+    own = prints.select("_item_row", F.col("_m").alias("_im"), *[F.col(x).alias(f"_q{x}") for x in p])
+    met = looked.join(sized(index), "_key").join(sized(own), "_item_row").where("_m = _im")
+    differ = [F.col(x).bitwiseXOR(F.col(f"_q{x}")) for x in p]
+    apart = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+    return met.where(apart <= RADIUS).select("_doc", "_start", "_item_row").distinct()
+
+
+def _leaks(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
+    shingled, lengths = suspects(docs, items, size)
+    pairs, least = None, 0
+    longest = items.agg(F.max("_m")).first()[0]
+    for layout in LAYOUTS:
+        if least < longest:
+            here = F.col("_m").between(least + 1, layout.most)
+            part = candidates(shingled, lengths.where(here), items.where(here), layout)
+            pairs = part if pairs is None else pairs.unionByName(part)
+        least = layout.most
+    sets = items.select("_item_row", "item_id", "_m", features(F.col("_item")).alias("_features"))
+    checked = cut(pairs).join(shingled, "_doc").join(sized(sets), "_item_row")
+    alike = similarity(features(F.col("_win")), F.col("_features"))
+    similar = checked.withColumn("_win", F.slice("_all", F.col("_start") + 1, F.col("_m"))).withColumn("_sim", alike).where(F.col("_sim") >= threshold)
+    best = similar.groupBy("_doc", "_item_row").agg(
+        F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.max("_sim").alias("similarity"), F.max(F.struct("_sim", (-F.col("_start")).alias("s"))).alias("_best"), F.count("*").alias("n_windows")
     )
     return best.select("_k1", "_k2", "doc_id", "item_id", "similarity", (-F.col("_best.s")).alias("start_word"), "n_windows")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, without documents in which ``find_leaks`` finds an item. Columns named _k1 and _k2 are replaced."""
-    bad = cut(find_leaks(docs, benchmark, threshold, radius).select("_k1", "_k2").distinct())
+    bad = cut(find_leaks(docs, benchmark, threshold).select("_k1", "_k2").distinct())
     names = [c for c in docs.columns if c not in ("_k1", "_k2")]
     return docs.select(*names, *row_key(F.col("doc_id"), F.col("text"))).join(sized(bad), ["_k1", "_k2"], "left_anti").select(*names)
 
@@ -146,16 +259,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_windows")
 
 
+#: All windows, of an item's length, of all documents that share a shingle with it.
 OP5_SQL = rf"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-it AS (SELECT item_id, len(w) AS n, least(len(w), {WORDS}) AS k, list_transform(range(0, len(w) - least(len(w), {WORDS}) + 1), lambda p: array_to_string(w[p + 1 : p + least(len(w), {WORDS})], ' ')) AS s FROM i WHERE len(w) > 0),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
-ds AS (SELECT doc_id, k, list_transform(range(0, len(w) - k + 1), lambda p: array_to_string(w[p + 1 : p + k], ' ')) AS s FROM d, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
-dp AS (SELECT doc_id, k, len(s) AS n, unnest(s) AS g, unnest(range(0, len(s))) AS pos FROM ds),
-ip AS (SELECT DISTINCT k, n - k + 1 AS m, g, off FROM (SELECT k, n, unnest(s) AS g, unnest(range(0, len(s))) AS off FROM it)),
-win AS (SELECT DISTINCT doc_id, k, m, greatest(0, least(pos - off, dp.n - m)) AS start FROM dp JOIN ip USING (k, g)),
-pair AS (SELECT win.doc_id, it.item_id, start, it.s AS a, ds.s[start + 1 : start + m] AS b FROM win JOIN ds USING (doc_id, k) JOIN it ON it.k = win.k AND it.n - it.k + 1 = win.m),
-sim AS (SELECT doc_id, item_id, start, list_sum(list_transform(list_intersect(a, b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS o, len(a) + len(b) AS t FROM pair),
-ok AS (SELECT doc_id, item_id, start, o / (t - o) AS sim FROM sim WHERE o > 0 AND o / (t - o) >= {THRESHOLD})
-SELECT doc_id, item_id, round(max(sim), 6) AS similarity, arg_max(start, (sim, -start))::INT AS start_word, count(*)::BIGINT AS n_windows FROM ok GROUP BY doc_id, item_id
+it AS (SELECT row_number() OVER () AS r, item_id, least(len(w), {WORDS}) AS k, list_transform(range(0, len(w) - least(len(w), {WORDS}) + 1), lambda p: array_to_string(w[p + 1 : p + least(len(w), {WORDS})], ' ')) AS s FROM i WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS q, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ds AS (SELECT q, doc_id, k, list_transform(range(0, len(w) - k + 1), lambda p: array_to_string(w[p + 1 : p + k], ' ')) AS s FROM d, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
+sharing AS (SELECT DISTINCT q, k, r FROM (SELECT q, k, unnest(s) AS g FROM ds) JOIN (SELECT r, k, unnest(s) AS g FROM it) USING (k, g)),
+win AS (SELECT q, k, r, unnest(range(0, greatest(0, len(ds.s) - len(it.s)) + 1)) AS start FROM sharing JOIN ds USING (q, k) JOIN it USING (r, k)),
+pair AS (SELECT q, doc_id, r, item_id, start, it.s AS a, ds.s[start + 1 : start + len(it.s)] AS b FROM win JOIN ds USING (q, k) JOIN it USING (r, k)),
+sim AS (SELECT q, doc_id, r, item_id, start, list_sum(list_transform(list_intersect(a, b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS o, len(a) + len(b) AS t FROM pair),
+ok AS (SELECT q, doc_id, r, item_id, start, o / (t - o) AS sim FROM sim WHERE o > 0 AND o / (t - o) >= {THRESHOLD})
+SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, round(max(sim), 6) AS similarity, arg_max(start, (sim, -start))::INT AS start_word, count(*)::BIGINT AS n_windows FROM ok GROUP BY q, r
 """

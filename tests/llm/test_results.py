@@ -183,20 +183,89 @@ def test_leaks_with_repeated_words(spark):
     assert set(got) == {(k, k) for k in range(12)} and all(near(s, 175 / 217) for s in got.values())
 
 
-def test_blocks_find_all_within_radius(spark):
-    rng = np.random.default_rng(1)
-    pairs = []
-    for _ in range(200):
-        a = int(rng.integers(-(2**63), 2**63))
-        b = a
-        for k in rng.choice(64, decontaminate.RADIUS, replace=False):
-            b ^= 1 << int(k) if k < 63 else -(1 << 63)
-        pairs.append((a, b))
-    frame = spark.createDataFrame(pairs, "a long, b long")
+def test_leaks_in_any_order(spark):
+    """A passage whose halves are swapped shares nearly all shingles, at other offsets."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    filler = lambda k: [f"f{k}x{i}" for i in range(30)]
+    docs = [(1, " ".join(filler(1) + b + a + filler(2))), (2, " ".join(filler(3) + b[:30] + a[:30] + filler(4)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.find_leaks(frame, spark.createDataFrame([(9, " ".join(a + b))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.n_windows) for r in got] == [(1, 9, 17)] and near(got[0].similarity, 112 / 120)
+
+
+def windows_by_hand(text, item, size=5):
+    """{start: weighted Jaccard similarity} of all windows of the item's length."""
+    cut = lambda w: [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+    doc, of = cut(text.lower().split()), cut(item.lower().split())
+    out, a = {}, Counter(of)
+    for k in range(max(1, len(doc) - len(of) + 1)):
+        b = Counter(doc[k : k + len(of)])
+        shared = sum((a & b).values())
+        out[k] = shared / (len(of) + sum(b.values()) - shared)
+    return out
+
+
+def test_leaks_by_hand_for_short_and_long_items(spark):
+    """Items of all three layouts, documents of several chunks, words that repeat: windows at the threshold and above."""
+    rng = random.Random(12)
+    word = lambda k, n: [f"w{k}x{rng.randrange(n)}" for _ in range(rng.randrange(20, 60))]
+    items = {k: " ".join(word(k, 400) + (["again"] * 9 if k % 3 == 0 else []) + word(k, 9)) for k in range(12)}
+    items |= {100 + k: " ".join(f"l{k}x{i % 150}" for i in range(190)) for k in range(3)}
+    items[200] = " ".join(f"v{i}" for i in range(33_100))
+    docs = {}
+    for k in items:
+        for d in range(4):
+            words = items[k].split()
+            for _ in range(d * len(words) // 60):
+                words[rng.randrange(len(words))] = "other"
+            docs[10 * k + d] = " ".join([f"f{rng.randrange(99)}" for _ in range(rng.randrange(600))] + words + ["tail"] * rng.randrange(40))
+    docs = {k: t for k, t in docs.items() if k < 2002}
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = {}
+    for d, text in docs.items():
+        item = d // 10
+        passing = {k: s for k, s in windows_by_hand(text, items[item]).items() if s >= 0.8} if item < 200 else {}
+        if passing:
+            want[d, item] = (max(passing.values()), len(passing))
+    assert {k for k in got if k[1] < 200} == set(want) and len(want) > 20 and {d for d, i in got if i == 200} == {2000, 2001}
+    assert all(near(got[k].similarity, s) for k, (s, _) in want.items())
+    assert sum(got[k].n_windows for k in want) >= 0.99 * sum(n for _, n in want.values())
+
+
+@pytest.mark.parametrize("layout", decontaminate.LAYOUTS)
+def test_fingerprints_roll(spark, layout):
+    """Rolled votes give what counting each window's features gives, and blocks find all within the radius."""
     from pyspark.sql import functions as F
 
-    shared = frame.select(F.size(F.array_intersect(decontaminate.blocks(F.col("a"), decontaminate.RADIUS), decontaminate.blocks(F.col("b"), decontaminate.RADIUS))).alias("n"))
-    assert min(r.n for r in shared.collect()) >= 1
+    rng = random.Random(layout.width)
+    rows = [(d, [rng.randrange(-9, 9) * (1 << 40) + rng.randrange(n) for _ in range(30)], m, min(30, m)) for d, (m, n) in enumerate([(5, 9), (12, 3), (40, 999)])]
+    frame = spark.createDataFrame(rows, "_doc long, _a array<long>, _m int, _s int")
+    got = {(r["_doc"], r["_at"]): r for r in decontaminate.fingerprints(frame, layout).collect()}
+    single = spark.createDataFrame([(d, at, a[at : at + m]) for d, a, m, s in rows for at in range(30 - s + 1)], "_doc long, _at int, _a array<long>")
+    some = single.select("_doc", "_at", F.explode(decontaminate.features(F.col("_a"))).alias("f")).select("_doc", "_at", *[F.xxhash64("f", F.lit(t)).alias(f"h{t}") for t in range(layout.hashes)]).collect()
+    assert set(got) == {(r["_doc"], r["_at"]) for r in some}
+    votes = {k: [Counter() for _ in range(layout.hashes)] for k in got}
+    for r in some:
+        for t in range(layout.hashes):
+            votes[r["_doc"], r["_at"]][t].update(b for b in range(64) if r[f"h{t}"] >> b & 1)
+    bits = [b + layout.shifts * j for j in range(layout.blocks) for b in layout.block_bits()]
+    for k, v in votes.items():
+        half = rows[k[0]][3] / 2
+        assert [got[k][f"_p{t}"] for t in range(layout.hashes)] == [sum(1 << b for b in bits if c[b] > half) for c in v]
+    assert len(bits) == len(set(bits)) and layout.blocks * layout.hashes == decontaminate.BLOCKS
+    names = [f"_p{t}" for t in range(layout.hashes)]
+    prints, moved = [], []
+    for i in range(60):
+        p = [sum(1 << b for b in bits if rng.random() < 0.5) for _ in names]
+        q = list(p)
+        for t, b in rng.sample([(t, b) for t in range(layout.hashes) for b in bits], decontaminate.RADIUS):
+            q[t] ^= 1 << b
+        prints.append((i, *p))
+        moved.append((i, *q))
+    schema = "i int, " + ", ".join(f"{n} long" for n in names)
+    index = decontaminate.near_values(spark.createDataFrame(prints, schema), layout).select(F.col("i").alias("j"), "_block", "_value")
+    looked = spark.createDataFrame(moved, schema).select("i", F.inline(decontaminate.block_values(layout)))
+    assert looked.join(index, ["_block", "_value"]).where("i = j").select("i").distinct().count() == 60
 
 
 def test_near_threshold_lines_are_counted_exactly(spark):
