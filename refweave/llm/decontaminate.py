@@ -14,10 +14,9 @@ through for that length, but then all of their windows of it are.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from .common import SPACES, cut, row_key, sized, table
 
@@ -101,42 +100,32 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def _rolled(chunks: DataFrame, layout: Layout) -> DataFrame:
-    """``chunks`` (_a: shingles, _m: shingles of the item, _s: shingles of a window) with a row for each window: its _at in the chunk, and the
-    numbers _v0, _v1, ... that hold the votes."""
-    m = F.col("_m")
+def _rolled(chunks: DataFrame, layout: Layout, keys: list[str]) -> DataFrame:
+    """``chunks`` (``keys``, _a: shingles, _m: shingles of the item, _s: shingles of a window) with a row for each window: its _at in the
+    chunk, and the numbers _v0, _v1, ... that hold the votes, as running sums of what comes less what goes."""
+    m, kept = F.col("_m"), [c for c in chunks.columns if c != "_a"]
     comes = _occurrences(F.col("_a"), lambda i: F.greatest(i - m + 2, F.lit(1)), lambda i: F.least(i + 1, m))
     goes = _occurrences(F.col("_a"), lambda i: i + 1, lambda i: m)
-    left = chunks.withColumn("_in", comes).withColumn("_out", goes)
-    zero = F.lit(0).cast("bigint")
-
-    def hashes(of: str, before: Column | None = None) -> list[Column]:
-        made = [F.transform(of, partial(lambda t, x: F.xxhash64(x, F.lit(t)), t)) for t in range(layout.hashes)]
-        return made if before is None else [F.slice(F.concat(before, g), 1, F.size(of)) for g in made]
-
-    names = [f"{w}{t}" for w in "io" for t in range(layout.hashes)]
-    waits = F.array_repeat(zero, F.least(m, F.size("_a")).cast("int"))  # a hash of zeros votes for nothing
-    zipped = left.withColumn("_steps", F.arrays_zip(*[c.alias(n) for n, c in zip(names, hashes("_in") + hashes("_out", waits))]))
-    numbers = [(t, k) for t in range(layout.hashes) for k in range(layout.shifts * layout.blocks)]
-
-    def votes(of: Column, k: int) -> Column:
+    both = chunks.select(*kept, comes.alias("_in"), goes.alias("_out"))
+    # outer: else the optimizer adds a filter on the arrays' sizes, and they are computed twice
+    steps = both.select(*kept, "_out", F.posexplode_outer("_in").alias("_at", "_x")).select(*kept, "_at", "_x", F.get("_out", F.col("_at") - m).alias("_y"))
+    ordered = steps.sortWithinPartitions(*keys, "_at")
+    hashes = range(layout.hashes)
+    zero = F.lit(0).cast("bigint")  # votes for nothing
+    hashed = ordered.select(*kept, "_at", *[F.xxhash64("_x", F.lit(t)).alias(f"_i{t}") for t in hashes], *[F.when(F.col("_y").isNull(), zero).otherwise(F.xxhash64("_y", F.lit(t))).alias(f"_o{t}") for t in hashes])
+
+    def votes(of: str, k: int) -> Column:
         return F.shiftrightunsigned(of, k).bitwiseAND(F.lit(layout.ones))
 
-    def step(acc: Column, e: Column) -> Column:
-        now = F.struct(*[(acc["now"][f"_v{j}"] + votes(e[f"i{t}"], k) - votes(e[f"o{t}"], k)).alias(f"_v{j}") for j, (t, k) in enumerate(numbers)])
-        return F.struct(now.alias("now"), F.array_append(acc["all"], acc["now"]).alias("all"))
-
-    none = F.struct(*[zero.alias(f"_v{j}") for j in range(len(numbers))])
-    start = F.struct(none.alias("now"), F.slice(F.array(none), 1, 0).alias("all"))
-    states = F.aggregate("_steps", start, step, lambda acc: F.array_append(acc["all"], acc["now"]))  # the state before each step, and the last
-    ready = zipped.withColumn("_states", F.slice(states, F.col("_s") + 1, F.size("_a") - F.col("_s") + 1)).drop("_steps", "_in", "_out", "_a")
-    kept = [c for c in ready.columns if c != "_states"]
-    return ready.select(*kept, F.posexplode("_states").alias("_at", "_state")).select(*kept, "_at", "_state.*")
+    upto = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbers = [(t, k) for t in hashes for k in range(layout.shifts * layout.blocks)]
+    summed = hashed.select(*kept, "_at", *[F.sum(votes(f"_i{t}", k) - votes(f"_o{t}", k)).over(upto).alias(f"_v{j}") for j, (t, k) in enumerate(numbers)])
+    return summed.withColumn("_at", F.col("_at") - F.col("_s") + 1).where("_at >= 0")
 
 
-def fingerprints(chunks: DataFrame, layout: Layout) -> DataFrame:
+def fingerprints(chunks: DataFrame, layout: Layout, keys: list[str]) -> DataFrame:
     """``chunks`` as for ``_rolled``, without _a, with _at and _p0, _p1, ...: bits that more than half of a window's features have."""
-    rolled = _rolled(chunks, layout)
+    rolled = _rolled(chunks, layout, keys)
     numbers = layout.shifts * layout.blocks
     # Lanes above half get their top bit.
     lift = (F.lit(layout.most) - F.floor(F.col("_s") / 2)) * F.lit(layout.ones)
@@ -196,7 +185,7 @@ def suspects(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, D
     """((_doc, _k1, _k2, doc_id, _all), (_doc, _m)): documents with a shingle of an item, their shingles, and these items' lengths."""
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
     anchors = cut(items.select("_m", F.explode("_item").alias("_sh")).distinct())
-    listed = keyed.select("_k1", "_k2", F.explode(shingles(words_of(F.col("text")), size)).alias("_sh"))
+    listed = keyed.select("_k1", "_k2", F.explode_outer(shingles(words_of(F.col("text")), size)).alias("_sh"))
     met = cut(listed.join(sized(anchors), "_sh").select("_k1", "_k2", "_m").distinct())
     numbered = cut(met.select("_k1", "_k2").distinct().withColumn("_doc", F.monotonically_increasing_id()))
     # By _doc, not by the join's keys: a row that is repeated very often is cut down before the shuffle, and the join's rows can be split.
@@ -208,7 +197,7 @@ def suspects(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, D
 def candidates(shingled: DataFrame, lengths: DataFrame, items: DataFrame, layout: Layout) -> DataFrame:
     """(_doc, _start, _item_row): windows and items of one length whose fingerprints differ in RADIUS bits or fewer."""
     whole = items.select("_item_row", "_m", F.col("_item").alias("_a"), F.col("_m").alias("_s"))
-    prints = cut(fingerprints(whole, layout).drop("_s", "_at"))
+    prints = cut(fingerprints(whole, layout, ["_item_row"]).drop("_s", "_at"))
     key = F.xxhash64("_m", "_block", "_value").alias("_key")
     index = cut(near_values(prints.select("_item_row", "_m", *[f"_p{t}" for t in range(layout.hashes)]), layout).select(key, "_item_row"))
     n = F.size("_all")
@@ -216,7 +205,8 @@ def candidates(shingled: DataFrame, lengths: DataFrame, items: DataFrame, layout
     chunks = shingled.join(lengths, "_doc").select("_doc", "_m", F.least(n, "_m").alias("_s"), "_all", F.explode(F.sequence(F.lit(0), room, F.lit(CHUNK))).alias("_c"))
     cutouts = chunks.select("_doc", "_m", "_s", "_c", F.slice("_all", F.col("_c") + 1, F.col("_m") + (CHUNK - 1)).alias("_a"))
     width = int(shingled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = fingerprints(cutouts.repartition(width, "_doc", "_m", "_c"), layout).withColumn("_start", F.col("_c") + F.col("_at"))
+    place = ["_doc", "_m", "_c"]
+    windows = fingerprints(cutouts.repartition(width, *place), layout, place).withColumn("_start", F.col("_c") + F.col("_at"))
     p = [f"_p{t}" for t in range(layout.hashes)]
     windows = cut(windows.select("_doc", "_m", "_start", *p))  # also keeps the optimizer from copying a fingerprint's expression into each block
     looked = windows.select("_doc", "_m", "_start", *p, F.inline(block_values(layout))).select("_doc", "_m", "_start", *p, "_block", key)

@@ -206,12 +206,11 @@ def windows_by_hand(text, item, size=5):
 
 
 def test_leaks_by_hand_for_short_and_long_items(spark):
-    """Items of all three layouts, documents of several chunks, words that repeat: windows at the threshold and above."""
+    """Items of two layouts, documents of several chunks, words that repeat: windows at the threshold and above."""
     rng = random.Random(12)
     word = lambda k, n: [f"w{k}x{rng.randrange(n)}" for _ in range(rng.randrange(20, 60))]
     items = {k: " ".join(word(k, 400) + (["again"] * 9 if k % 3 == 0 else []) + word(k, 9)) for k in range(12)}
     items |= {100 + k: " ".join(f"l{k}x{i % 150}" for i in range(190)) for k in range(3)}
-    items[200] = " ".join(f"v{i}" for i in range(33_100))
     docs = {}
     for k in items:
         for d in range(4):
@@ -219,15 +218,14 @@ def test_leaks_by_hand_for_short_and_long_items(spark):
             for _ in range(d * len(words) // 60):
                 words[rng.randrange(len(words))] = "other"
             docs[10 * k + d] = " ".join([f"f{rng.randrange(99)}" for _ in range(rng.randrange(600))] + words + ["tail"] * rng.randrange(40))
-    docs = {k: t for k, t in docs.items() if k < 2002}
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     want = {}
     for d, text in docs.items():
         item = d // 10
-        passing = {k: s for k, s in windows_by_hand(text, items[item]).items() if s >= 0.8} if item < 200 else {}
+        passing = {k: s for k, s in windows_by_hand(text, items[item]).items() if s >= 0.8}
         if passing:
             want[d, item] = (max(passing.values()), len(passing))
-    assert {k for k in got if k[1] < 200} == set(want) and len(want) > 20 and {d for d, i in got if i == 200} == {2000, 2001}
+    assert set(got) == set(want) and len(want) > 20
     assert all(near(got[k].similarity, s) for k, (s, _) in want.items())
     assert sum(got[k].n_windows for k in want) >= 0.99 * sum(n for _, n in want.values())
 
@@ -240,7 +238,7 @@ def test_fingerprints_roll(spark, layout):
     rng = random.Random(layout.width)
     rows = [(d, [rng.randrange(-9, 9) * (1 << 40) + rng.randrange(n) for _ in range(30)], m, min(30, m)) for d, (m, n) in enumerate([(5, 9), (12, 3), (40, 999)])]
     frame = spark.createDataFrame(rows, "_doc long, _a array<long>, _m int, _s int")
-    got = {(r["_doc"], r["_at"]): r for r in decontaminate.fingerprints(frame, layout).collect()}
+    got = {(r["_doc"], r["_at"]): r for r in decontaminate.fingerprints(frame, layout, ["_doc"]).collect()}
     single = spark.createDataFrame([(d, at, a[at : at + m]) for d, a, m, s in rows for at in range(30 - s + 1)], "_doc long, _at int, _a array<long>")
     some = single.select("_doc", "_at", F.explode(decontaminate.features(F.col("_a"))).alias("f")).select("_doc", "_at", *[F.xxhash64("f", F.lit(t)).alias(f"h{t}") for t in range(layout.hashes)]).collect()
     assert set(got) == {(r["_doc"], r["_at"]) for r in some}
