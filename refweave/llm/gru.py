@@ -12,8 +12,12 @@ import numpy as np
 END, OUTSIDE = 0, 1
 HIDDEN = 24
 CLASSES = 48
-#: Texts that run side by side, and tokens between truncations in learning and between outputs in scoring.
-LANES, LEARN_LANES, SPAN = 512, 64, 32
+#: Texts that run side by side, and tokens between truncations in learning.
+LANES, LEARN_LANES, SPAN = 512, 128, 32
+#: In learning, longer documents are learned from in stretches of so many tokens, each from a fresh state; scoring never cuts a document.
+STRETCH = 4096
+#: Tokens whose outputs are made at once in scoring.
+OUTPUTS = SPAN * LANES
 
 
 def class_starts(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -27,6 +31,13 @@ def class_starts(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return np.concatenate([[0, 1], 2 + np.flatnonzero(np.diff(of, prepend=-1)), [n]])
 
 
+def stretches(of: np.ndarray, most: int = STRETCH) -> np.ndarray:
+    """The offsets ``of``, with further ones so that nothing between two is longer than ``most``."""
+    number = -(-np.diff(of) // most)
+    within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    return np.append(np.repeat(of[:-1], number) + within * most, of[-1])
+
+
 class Lanes:
     """Documents dealt to lanes of about equal length: ``at`` (steps x lanes) has the place of each target in the end-to-end tokens, -1 after
     a lane's end; lanes are by falling length, so at each step the running ones are the first."""
@@ -178,9 +189,12 @@ class Model:
         first[of[:-1][np.diff(of) > 0]] = True
         lanes = Lanes(of, LANES)
         h = np.zeros((lanes.at.shape[1], HIDDEN), np.float32)
-        for step in range(0, len(lanes.at), SPAN):
+        step = 0
+        while step < len(lanes.at):
             h = h[: lanes.running(step)]
-            at = lanes.at[step : step + SPAN, : len(h)]
+            span = max(SPAN, OUTPUTS // len(h))  # the fewer lanes run, the more steps
+            at = lanes.at[step : step + span, : len(h)]
+            step += span
             done = at < 0
             safe = np.where(done, 0, at)
             inputs, fresh = self._inputs(tokens, first, safe)
@@ -206,6 +220,7 @@ class Model:
         """One pass of truncated backpropagation over SPAN tokens, with per-parameter rates; returns the tokens learned from."""
         if not len(tokens):
             return 0
+        of = stretches(of)
         first = np.zeros(len(tokens), bool)
         first[of[:-1][np.diff(of) > 0]] = True
         lanes = Lanes(of, LEARN_LANES)

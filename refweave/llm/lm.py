@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, cut, table, uniform
+from .common import bucket, cut, sized, table, uniform
 from .gru import END, OUTSIDE, Model
 from .textvec import LOWER_VALUE, U64, Words, buffer_of, pieces, sum_by
 
@@ -30,8 +30,11 @@ VOCABULARY = 4096
 COMMON = 100_000
 START_DOCS, START_PASSES, MAX_CHARS = 800, 2, 50_000
 RATE = 0.1
-#: Partitions of the corpus whose learning documents one task takes, so that a task learns enough before changes are averaged.
-PARTITIONS_A_TASK = 6
+#: Training tokens of a learner, about: enough to learn something before changes are averaged. Documents are dealt to learners by hash, so
+#: that what is learned doesn't depend on how the table is stored; a row that is repeated more often than HOT is dealt over all of them.
+TOKENS_A_TASK, HOT = 6_000_000, 10_000
+#: Learners whose changes are added up first, before the sums are.
+ADDED_FIRST = 64
 #: Tokens that a task scores at once.
 AT_ONCE = 2_000_000
 CHUNK = 8192
@@ -137,7 +140,7 @@ def start_model(training: DataFrame, lexicon: Lexicon) -> Model:
 
 
 def learn_everywhere(training: DataFrame, lexicon: Lexicon, model: Model) -> Model:
-    """Averages what tasks, starting from ``model``, learn from all training documents."""
+    """Averages, by tokens, what learners, starting from ``model``, learn from all training documents (doc_id, text) between them."""
     start = model.flat()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,7 @@ def learn_everywhere(training: DataFrame, lexicon: Lexicon, model: Model) -> Mod
                 tokens.append(t)
                 sizes.append(np.diff(of))
                 held += len(t)
-                if held > AT_ONCE // 4:
+                if held > AT_ONCE // 2:
                     n += step()
                     tokens, sizes, held = [], [], 0
         if held:
@@ -168,19 +171,25 @@ def learn_everywhere(training: DataFrame, lexicon: Lexicon, model: Model) -> Mod
         total: dict[int, np.ndarray] = {}
         seen: dict[int, int] = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                k = batch.column(0)[i].as_py()
+            chunks, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, k in enumerate(chunks):
                 value = batch.column(2)[i].values.to_numpy().astype(np.float64)
                 total[k] = total[k] + value if k in total else value
-                seen[k] = seen.get(k, 0) + batch.column(1)[i].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([seen[k] for k in total], pa.int64()), pa.array([(total[k] / seen[k]).tolist() for k in total], pa.list_(pa.float64()))], names=["chunk", "n", "change"])
-
-    tasks = max(1, -(-training.rdd.getNumPartitions() // PARTITIONS_A_TASK))
-    learned = training.select("text").coalesce(tasks).mapInArrow(learn, "chunk int, n long, change array<float>")
-    rows = learned.repartition("chunk").mapInArrow(add, "chunk int, n long, change array<double>").toArrow()
+                seen[k] = seen.get(k, 0) + ns[i]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["chunk", "n", "change"])
+
+    tasks = max(1, -(-lexicon.total // TOKENS_A_TASK))
+    keyed = training.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
+    often = cut(keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("_key"))  # few: each stands for many rows
+    salted = keyed.join(sized(often.withColumn("_often", F.lit(True))), "_key", "left").withColumn("_salt", F.when(F.col("_often"), F.floor(F.rand(SEED) * tasks)).otherwise(0))
+    dealt = salted.repartition(tasks, "_key", "_salt").sortWithinPartitions("_key").select("text")
+    changed = "chunk int, n long, change array<double>"
+    learned = dealt.mapInArrow(learn, "chunk int, n long, change array<float>").withColumn("_some", F.spark_partition_id() % ADDED_FIRST)
+    added = learned.repartition("chunk", "_some").select("chunk", "n", "change").mapInArrow(add, changed)
+    rows = added.repartition("chunk").mapInArrow(add, changed).toArrow()
     flat = start.astype(np.float64)
-    for k, change in zip(rows.column("chunk").to_pylist(), rows.column("change")):
-        flat[k * CHUNK : k * CHUNK + len(change)] += change.values.to_numpy()
+    for k, n, change in zip(rows.column("chunk").to_pylist(), rows.column("n").to_pylist(), rows.column("change")):
+        flat[k * CHUNK : k * CHUNK + len(change)] += change.values.to_numpy() / n
     out = Model(lexicon.id_counts, SEED)
     out.load(flat.astype(np.float32))
     return out

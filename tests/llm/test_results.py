@@ -418,6 +418,96 @@ def test_language_model_is_a_distribution():
         assert abs(model.score(own, np.array([0, len(own)])).sum() - together[i]) < 1e-2
 
 
+def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows in other partitions and orders give the same model and scores."""
+    monkeypatch.setattr(lm, "TOKENS_A_TASK", 20_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: (r.score, r.base_score) for r in lm.score_documents(docs.repartition(2)).collect()}
+    two = {r.doc_id: (r.score, r.base_score) for r in lm.score_documents(docs.orderBy("text").repartition(9)).collect()}
+    assert set(one) == set(two) and all(near(a, b, 1e-4) for k in one for a, b in zip(one[k], two[k]))
+
+
+def test_language_model_step_by_step():
+    """One token at a time, with plain loops over the gates and over all words of the class."""
+    rng = np.random.default_rng(5)
+    model = gru.Model(np.array([30, 40] + [int(300 / k) for k in range(1, 60)]), seed=2)
+    of = np.array([0, 40, 41, 130])
+    tokens = rng.integers(0, 61, 130)
+    model.learn(tokens, of, 0.1)
+    n, got = gru.HIDDEN, model.score(tokens, of)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for d in range(3):
+        h, before = [0.0] * n, gru.END
+        for place in range(of[d], of[d + 1]):
+            a, g = model.x[before].astype(float), [sum(h[i] * float(model.u[i, j]) for i in range(n)) for j in range(3 * n)]
+            z, r = [sigmoid(a[j] + g[j]) for j in range(n)], [sigmoid(a[n + j] + g[n + j]) for j in range(n)]
+            m = [math.tanh(a[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * m[j] for j in range(n)]
+            word = int(tokens[place])
+            k = model.of_class[word]
+            classes = [math.exp(sum(h[i] * float(model.class_w[i, c]) for i in range(n)) + float(model.class_b[c])) for c in range(len(model.starts) - 1)]
+            words = {w: math.exp(sum(h[i] * float(model.word_w[w, i]) for i in range(n)) + float(model.word_b[w])) for w in range(model.starts[k], model.starts[k + 1])}
+            assert abs(got[place] - math.log(classes[k] / sum(classes) * words[word] / sum(words.values()))) < 1e-3
+            before = word
+
+
+def test_stretches():
+    assert gru.stretches(np.array([0, 3, 3, 13]), 4).tolist() == [0, 3, 7, 11, 13]
+
+
+def test_convolution_by_hand():
+    """Every window, filter and position in plain loops."""
+    rng = np.random.default_rng(4)
+    network = langid.Network(["aa", "bb", "cc"], rng)
+    network.bias[:] = rng.normal(0, 0.1, len(network.bias))
+    texts = ["short", "é" * 100 + " and more " * 30, "x" * 125]
+    langs, scores = network.predict(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        raw, total = text.encode(), [0.0] * 3
+        for at in range(0, max(1, len(raw) - (langid.WINDOW - langid.STEP)), langid.STEP):
+            own = raw[at : at + langid.WINDOW]
+            x = list(own) + [0] * (langid.WINDOW - len(own))
+            pooled = []
+            for f in range(langid.FILTERS * len(langid.WIDTHS)):
+                width = langid.WIDTHS[f // langid.FILTERS]
+                best = max(sum(float(network.bytes[x[p + k], d]) * float(network.filters[k * langid.DIM + d, f]) for k in range(width) for d in range(langid.DIM)) for p in range(langid.STEP))
+                pooled.append(max(best + float(network.bias[f]), 0))
+            logits = [sum(pooled[f] * float(network.out[f, c]) for f in range(len(pooled))) + float(network.out_bias[c]) for c in range(3)]
+            whole = sum(map(math.exp, logits))
+            for c in range(3):
+                total[c] += math.exp(logits[c]) / whole * len(own) / langid.WINDOW
+        assert lang == "abc"[int(np.argmax(total))] * 2 and near(score, max(total) / sum(total), 1e-3)
+
+
+def test_factorization_by_hand():
+    """A double loop over the pairs of a text's terms."""
+    rng = np.random.default_rng(6)
+    size = 1 << toxicity.BITS
+    machine = toxicity.Machine(rng.normal(0, 0.3, size).astype(np.float32), rng.normal(0, 0.3, (size, toxicity.FACTORS)).astype(np.float32), np.ones(size, bool), -0.2)
+    texts = pa.array(["You, great insult of a Group", "", "one one one", "some longer words everywhere here"])
+    for k, text in enumerate(texts.to_pylist()):
+        ids = toxicity.terms(*textvec.buffer_of(texts.slice(k, 1)))[0].tolist()
+        low = [w for w in re.split(r"[^0-9a-z]+", text.lower()) if w]
+        assert len(ids) == len({w for w in low} | {(w[:n], n) for w in low for n in toxicity.PREFIXES if len(w) > n})
+        odds = machine.bias + sum(float(machine.weight[i]) for i in ids)
+        odds += sum(float(machine.factor[i] @ machine.factor[j]) for a, i in enumerate(ids) for j in ids[a + 1 :])
+        assert near(machine.score(texts)[k], 1 / (1 + math.exp(-odds)), 1e-4)
+
+
+def test_subword_average_by_hand():
+    """The mean of a text's numbers, feature by feature; and fused numbers equal averaging the vectors first."""
+    rng = np.random.default_rng(8)
+    vectors, layer = rng.normal(0, 1, (1 << quality.BITS, quality.DIM)), rng.normal(0, 1, quality.DIM)
+    texts = pa.array(["a small text, of words", "", "é\tü", "the same the same"])
+    got = quality.score_piece(texts, (vectors @ layer).astype(np.float32), 0.1)
+    for k in range(len(texts)):
+        ids = np.concatenate([f for f, _ in quality.features(*textvec.buffer_of(texts.slice(k, 1)))]).tolist()
+        words = re.findall(WORD, texts[k].as_py())
+        assert len(ids) == len(words) + max(0, len(words) - 1) + sum(max(0, len(w) - n + 1) for w in words for n in quality.CHARS)
+        mean = sum((vectors[i] for i in ids), np.zeros(quality.DIM)) / max(1, len(ids))
+        assert near(got[k], 1 / (1 + math.exp(-(float(mean @ layer) + 0.1))), 1e-4)
+
+
 def test_backpropagation_by_differences():
     rng = np.random.default_rng(3)
     model = gru.Model(np.array([5, 9, 8, 7, 6, 5, 4, 3, 2, 1]), seed=1)
