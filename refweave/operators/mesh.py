@@ -6,7 +6,6 @@ Groups are bodies or meshes: of bounded size by nature. Each function takes and
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
@@ -22,24 +21,29 @@ def per_group(df: DataFrame, key: str, function: Callable[[pd.DataFrame], pd.Dat
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def cyclic(triangles: np.ndarray) -> np.ndarray:
-    """Each triangle turned to begin with its least corner; winding stays."""
-    first = np.argmin(triangles, axis=1)
-    return triangles[np.arange(len(triangles))[:, None], (first[:, None] + np.arange(3)) % 3]
+def triangle_set(triangles: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """Triangles, with labels if given, as sorted records: equal for equal sets of oriented triangles, wherever each starts."""
+    starts = np.stack([triangles, triangles[:, [1, 2, 0]], triangles[:, [2, 0, 1]]])
+    spelled = np.rec.fromarrays(list(starts.transpose(2, 0, 1)), names="a,b,c")
+    spelled.sort(axis=0)  # of the three ways to write a triangle the least comes first
+    best = spelled[0]
+    table = np.rec.fromarrays([best.a, best.b, best.c, np.zeros(len(triangles), int) if labels is None else labels], names="a,b,c,label")
+    table.sort()
+    return table
 
 
-def ordered(triangles: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """Triangles (with labels) in one canonical order."""
-    rows = cyclic(triangles)
-    if labels is not None:
-        rows = np.column_stack([rows, labels])
-    return rows[np.lexsort(rows.T[::-1])]
-
-
-def signed_permutations() -> list[np.ndarray]:
-    """The 48 of three axes: rotations first, the identity before all."""
-    found = [np.eye(3)[list(p)] * np.array(s)[:, None] for p in permutations(range(3)) for s in product((1, -1), repeat=3)]
-    return sorted(found, key=lambda m: (round(np.linalg.det(m)) < 0, -np.trace(m), m.tolist()))
+def axis_turns() -> list[np.ndarray]:
+    """The 48 ways to lay the three axes on each other: what two quarter turns generate from the identity, then the mirror images of these."""
+    quarters = [np.array([[1, 0, 0], [0, 0, -1], [0, 1, 0]]), np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]])]
+    found = {np.eye(3, dtype=int).tobytes(): np.eye(3, dtype=int)}
+    queue = list(found.values())
+    for turn in queue:  # grows on the way
+        for quarter in quarters:
+            further = quarter @ turn
+            if further.tobytes() not in found:
+                found[further.tobytes()] = further
+                queue.append(further)
+    return [sign * turn.astype(float) for sign in (1, -1) for turn in queue]
 
 
 def nearest(points: np.ndarray, among: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +67,9 @@ def congruent(points: np.ndarray, triangles: np.ndarray, labels: list, points2:
     if len(p) != len(q) or len(t) != len(t2):
         return None
     centre, centre2 = (p.min(0) + p.max(0)) / 2, (q.min(0) + q.max(0)) / 2
-    want = ordered(t)
+    want = triangle_set(t)
     codes = {v: k for k, v in enumerate(sorted({*labels, *labels2}, key=str))}
-    for turn in signed_permutations():
+    for turn in axis_turns():
         moved = (q - centre2) @ turn.T
         if np.abs(np.ptp(moved, axis=0) - np.ptp(p, axis=0)).max() > 2 * tolerance:
             continue
@@ -74,9 +78,9 @@ def congruent(points: np.ndarray, triangles: np.ndarray, labels: list, points2:
             continue
         mirrored = np.linalg.det(turn) < 0
         own = to[t2][:, ::-1] if mirrored else to[t2]
-        if not np.array_equal(want, ordered(own)):
+        if not np.array_equal(want, triangle_set(own)):
             continue
-        same = np.array_equal(ordered(t, [codes[v] for v in labels]), ordered(own, [codes[v] for v in labels2]))
+        same = np.array_equal(triangle_set(t, [codes[v] for v in labels]), triangle_set(own, [codes[v] for v in labels2]))
         matrix = np.eye(4)
         matrix[:3, :3], matrix[:3, 3] = turn, centre - turn @ centre2
         return {"matrix": matrix, "mirrored": bool(mirrored), "deviation": float(off.max()), "same_labels": bool(same)}

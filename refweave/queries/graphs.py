@@ -253,11 +253,11 @@ def h2_quantised_fingerprints(spark, d):
     return q.groupBy("signature").agg(F.count("*").alias("bodies"), F.min("l_orderkey").alias("first_body")).where("bodies > 1")
 
 
-@query("""WITH s AS (SELECT p_partkey, printf('%.2f', p_retailprice) AS t FROM part), z AS (SELECT *, ltrim(replace(t, '.', ''), '0') AS a FROM s) SELECT p_partkey AS id, '~R' || rtrim(a, '0') || 'E' || (length(a) - length(rtrim(a, '0')) - 2) AS key FROM z""")
+@query("""WITH s AS (SELECT p_partkey, printf('%.2f', p_retailprice) AS t FROM part), z AS (SELECT *, ltrim(replace(t, '.', ''), '0') AS a FROM s) SELECT p_partkey AS id, 'real:' || rtrim(a, '0') || 'e' || (length(a) - length(rtrim(a, '0')) - 2) AS key FROM z""")
 def h7_exact_decimal_keys(spark, d):
-    """Exact keys of decimal spellings; needs arbitrary precision, so a function in Arrow batches."""
+    """Exact keys of decimal spellings."""
     price = F.format_string("%.2f", "p_retailprice")
-    return table(spark, d, "part").select(c("p_partkey").alias("id"), p21.udf_of(p21.decimal_key, "string")(price).alias("key"))
+    return table(spark, d, "part").select(c("p_partkey").alias("id"), p21.decimal_key_column(price).alias("key"))
 
 
 @query("""SELECT p_type AS kind, p_size AS dimension, count(*) AS uses, count(DISTINCT p_brand) AS frames, min(p_partkey) AS prototype FROM part GROUP BY 1, 2""")

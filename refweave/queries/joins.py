@@ -199,15 +199,14 @@ def j14_first_candidate_by_name(spark, d):
     return table(spark, d, "part").groupBy(c("p_name").alias("name")).agg(F.min("p_partkey").alias("part"), F.min_by("p_brand", "p_partkey").alias("node"))
 
 
-@query("""WITH ctr AS (SELECT label, avg(embedding[1]::DOUBLE) AS x, avg(embedding[2]::DOUBLE) AS y FROM embeddings GROUP BY 1), d AS (SELECT vec_id, ctr.label, (embedding[1]::DOUBLE - x) ** 2 + (embedding[2]::DOUBLE - y) ** 2 AS dist FROM embeddings, ctr)
-SELECT vec_id, arg_min(label, (dist, label)) AS cluster FROM d GROUP BY 1""")
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS k FROM embeddings), ctr AS (SELECT label, k, avg(x) AS m FROM e GROUP BY 1, 2),
+d AS (SELECT vec_id, ctr.label AS label, sum((x - m) ** 2) AS dist FROM e JOIN ctr USING (k) GROUP BY 1, 2) SELECT vec_id, arg_min(label, (dist, label)) AS cluster FROM d GROUP BY 1""")
 def j15_x13_nearest_centre(spark, d):
-    """k = 1 against a few centres; ties: the first. Centres are counted before they are sent to all tasks."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
-    centres = e.groupBy("label").agg(F.avg("a").alias("x"), F.avg("b").alias("y"))
-    gathered = cut(centres.agg(F.array_sort(F.collect_list(F.struct("label", "x", "y"))).alias("centres")))  # one row: a centre per label
-    dist = F.transform("centres", lambda k: F.struct(((c("a") - k["x"]) ** 2 + (c("b") - k["y"]) ** 2).alias("dist"), k["label"].alias("label")))
-    return e.join(F.broadcast(gathered)).select("vec_id", F.array_min(dist)["label"].alias("cluster"))
+    """The centre with the least squared distance over all components; ties: the first label. Sent to all tasks only if it is few numbers."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("k", "x")).withColumn("x", c("x").cast("double"))
+    centres = cut(e.groupBy(c("label").alias("centre"), "k").agg(F.avg("x").alias("m")))
+    apart = e.select("vec_id", "k", "x").join(sized(centres), "k").groupBy("vec_id", "centre").agg(F.sum((c("x") - c("m")) ** 2).alias("dist"))
+    return apart.groupBy("vec_id").agg(F.min_by("centre", F.struct("dist", "centre")).alias("cluster"))
 
 
 @query("""WITH m AS (SELECT o_orderkey AS id, o_custkey AS k, round(o_totalprice / 50000) AS q FROM orders) SELECT b.id AS candidate, min(a.id) AS reference FROM m a JOIN m b ON a.k = b.k AND a.q = b.q AND a.id < b.id GROUP BY 1""")

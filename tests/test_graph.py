@@ -13,11 +13,11 @@ def entities(spark, rows):
 
 
 def test_references_keep_order_and_repeats(spark):
-    e = entities(spark, [(1, "L", "", [8, 6, 8]), (6, "P", "", []), (8, "P", "", [999, 999])])
+    e = entities(spark, [(30, "L", "", [32, 31, 31, 32]), (31, "P", "", [70]), (32, "P", "", [])])
     got = sorted(tuple(r) for r in graph.references(e).collect())
-    assert got == [(1, 0, -3, 8), (1, 1, -2, 6), (1, 2, -1, 8), (8, 0, -2, 999), (8, 1, -1, 999)]
-    assert graph.unresolved(e).count() == 2
-    assert graph.argument(graph.references(e), -2).where("src = 1").first().dst == 6
+    assert got == [(30, 0, -4, 32), (30, 1, -3, 31), (30, 2, -2, 31), (30, 3, -1, 32), (31, 0, -1, 70)]
+    assert [tuple(r) for r in graph.unresolved(e).collect()] == [(31, 0, 70)]
+    assert graph.argument(graph.references(e), -3).where("src = 30").first().dst == 31
     again = entities(spark, [(1, "A", "old", []), (1, "A", "new", [])])
     assert [r.text for r in graph.last_definitions(again).collect()] == ["new"]
 

@@ -2,15 +2,16 @@ import numpy as np
 import pytest
 from refweave.operators import mesh
 
-POINTS = np.array([[0.0, 0, 0], [2, 0, 0], [0, 3, 0], [0, 0, 5]])
-TRIANGLES = np.array([[0, 2, 1], [0, 1, 3], [1, 2, 3], [0, 3, 2]])
-LABELS = ["red", "green", "blue", "red"]
+#: A wedge over a rectangle, on which no turn but the identity is a symmetry.
+POINTS = np.array([[0.0, 0, 0], [6, 0, 0], [6, 4, 0], [0, 4, 0], [1, 1, 3], [4, 1, 2]])
+TRIANGLES = np.array([[0, 3, 2], [0, 2, 1], [0, 1, 5], [0, 5, 4], [1, 2, 5], [2, 3, 4], [2, 4, 5], [3, 0, 4]])
+LABELS = ["base", "base", "front", "front", "side", "back", "back", "side"]
 
 
 def test_congruence():
     turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
-    order, tri = [2, 0, 3, 1], [3, 1, 0, 2]
-    moved = (POINTS @ turn.T + 7)[order]
+    order, tri = [2, 0, 5, 3, 1, 4], [3, 1, 7, 0, 5, 2, 6, 4]
+    moved = (POINTS @ turn.T - [3, 0, 20])[order]
     at = np.argsort(order)
     found = mesh.congruent(POINTS, TRIANGLES, LABELS, moved, np.roll(at[TRIANGLES], 1, axis=1)[tri], [LABELS[k] for k in tri], 1e-6)
     assert found and not found["mirrored"] and found["same_labels"]
@@ -19,10 +20,10 @@ def test_congruence():
     mirrored = mesh.congruent(POINTS, TRIANGLES, LABELS, flipped, TRIANGLES[:, ::-1], LABELS, 1e-6)
     assert mirrored and mirrored["mirrored"]
     off = POINTS.copy()
-    off[3, 2] += 0.01
+    off[4, 1] += 0.02
     assert mesh.congruent(POINTS, TRIANGLES, LABELS, off, TRIANGLES, LABELS, 1e-6) is None
-    assert mesh.congruent(POINTS, TRIANGLES, LABELS, POINTS, TRIANGLES[[0, 1, 2, 0]], LABELS, 1e-6) is None
-    other = mesh.congruent(POINTS, TRIANGLES, LABELS, POINTS, TRIANGLES, LABELS[::-1], 1e-6)
+    assert mesh.congruent(POINTS, TRIANGLES, LABELS, POINTS, TRIANGLES[[0, 1, 2, 3, 4, 5, 6, 0]], LABELS, 1e-6) is None
+    other = mesh.congruent(POINTS, TRIANGLES, LABELS, POINTS, TRIANGLES, LABELS[1:] + LABELS[:1], 1e-6)
     assert other and not other["same_labels"]
     assert mesh.first_congruent([(POINTS, TRIANGLES, LABELS), (off, TRIANGLES, LABELS), (moved, at[TRIANGLES], LABELS)], 1e-6) == [0, 1, 0]
 
@@ -51,13 +52,16 @@ def test_matching():
 
 
 def test_topology():
-    assert mesh.orient(TRIANGLES).tolist() == [False] * 4
-    assert mesh.orient(np.vstack([TRIANGLES[:3], TRIANGLES[3:, ::-1]])).tolist() == [False, False, False, True]
-    assert mesh.orient(TRIANGLES[:3]) is None
-    two = np.vstack([TRIANGLES, TRIANGLES + 4])
-    assert set(mesh.triangle_components(two, 8)) == {0, 4} and mesh.orient(two) is None
+    assert mesh.orient(TRIANGLES).tolist() == [False] * 8
+    assert mesh.orient(np.vstack([TRIANGLES[:7], TRIANGLES[7:, ::-1]])).tolist() == [False] * 7 + [True]
+    assert mesh.orient(TRIANGLES[:7]) is None
+    two = np.vstack([TRIANGLES, TRIANGLES + 6])
+    assert len(set(mesh.triangle_components(two, 12))) == 2 and mesh.orient(two) is None
     assert mesh.weld(np.array([[0.0, 0], [1, 0], [0, 1e-8]]), 1e-6).tolist() == [0, 1, 0] and mesh.weld(np.array([[0.0, 0], [0, 1e-8]])).tolist() == [0, 1]
-    assert mesh.ordered(np.array([[2, 0, 1], [1, 0, 2]])).tolist() == [[0, 1, 2], [0, 2, 1]]
+    assert mesh.triangle_set(np.array([[9, 4, 6], [6, 4, 9], [4, 6, 9]]), [7, 8, 5]).tolist() == [(4, 6, 9, 5), (4, 6, 9, 7), (4, 9, 6, 8)]
+    turns = mesh.axis_turns()
+    assert len({t.tobytes() for t in turns}) == 48 and np.array_equal(turns[0], np.eye(3)) and all(abs(t).sum() == 3 and np.array_equal(t @ t.T, np.eye(3)) for t in turns)
+    assert [round(np.linalg.det(t)) for t in turns] == [1] * 24 + [-1] * 24
 
 
 def test_sequences():
@@ -76,11 +80,11 @@ def test_sequences():
 
 
 def test_rays_and_details():
-    hit = mesh.blocked_rays(np.array([[0.2, 0.2, -5], [5, 5, -5], [0.2, 0.2, 9.0]]), np.tile([0.0, 0, 1], (3, 1)), POINTS, TRIANGLES)
+    hit = mesh.blocked_rays(np.array([[2.0, 1.5, -5], [7, 5, -5], [2.0, 1.5, 9.0]]), np.tile([0.0, 0, 1], (3, 1)), POINTS, TRIANGLES)
     assert hit.tolist() == [True, False, False]
     points = np.vstack([POINTS * 10, POINTS * 0.01 + 0.01, POINTS * 0.01 + 500])
-    triangles = np.vstack([TRIANGLES + 4 * k for k in range(3)])
-    assert mesh.small_details(points, triangles, 1.0, 1.0).tolist() == [False] * 4 + [True] * 4 + [False] * 4
+    triangles = np.vstack([TRIANGLES + 6 * k for k in range(3)])
+    assert mesh.small_details(points, triangles, 1.0, 1.0).tolist() == [False] * 8 + [True] * 8 + [False] * 8
     kept = mesh.retry_lost(np.array([0, 0, 1]), lambda own, limit: own if limit <= (0.3 if own[0] == 0 else 9) else own[:0], 1.0)
     assert kept == {0: 0.25, 1: 1.0} and mesh.retry_lost(np.array([0]), lambda own, limit: own[:0], 1.0) == {0: None}
-    assert np.allclose(mesh.areas(POINTS, TRIANGLES)[0], 3)
+    assert np.allclose(mesh.areas(POINTS, TRIANGLES)[0], 12)

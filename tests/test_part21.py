@@ -9,18 +9,18 @@ TEXT = b"""ISO-10303-21;
 HEADER;
 ENDSEC;
 DATA;
-#1=PRODUCT('a;b''#9',#2,
-#3);
-#2=(A(#4)B(/* #5 */ 'x'));
-#7=CARTESIAN_POINT('',(1.,2.,3.));
+#40=MEMBER('semi;colon ''#41'' x',
+ #55,#56);
+#55=(LEFT(#40)RIGHT('y',/* not #77 */$));
+#56=EDGE_LOOP('',(#40,#40,#55));
 ENDSEC;
 """
 
 
 def test_records():
     got = list(part21.records(TEXT, part21.data_start(TEXT)))
-    assert [(r[1], r[2], r[5]) for r in got] == [(1, "PRODUCT", [2, 3]), (2, "CPLX", [4]), (7, "CARTESIAN_POINT", [])]
-    assert got[0][4] == b"#1=PRODUCT('a;b''#9',#2,\n#3);"
+    assert [(r[1], r[2], r[5]) for r in got] == [(40, "MEMBER", [55, 56]), (55, "CPLX", [40]), (56, "EDGE_LOOP", [40, 40, 55])]
+    assert got[0][4] == b"#40=MEMBER('semi;colon ''#41'' x',\n #55,#56);"
     for bad in (b"\nDATA;\n#1=A('x", b"\nDATA;\n#1=A(/* x", b"\nDATA;\n#1=A(#2)"):
         with pytest.raises(part21.Unterminated):
             list(part21.records(bad))
@@ -49,39 +49,59 @@ def test_source_splits_nowhere_matter(spark, tmp_path):
 
 
 def test_strings():
-    assert p21.decode_string("a''b") == "a'b" and p21.decode_string("\\X2\\672A4FDD5B58\\X0\\") == "未保存" and p21.decode_string("\\X\\E9") == "é"
-    assert p21.decode_string("\\X2\\00") == "\\X2\\00" and p21.first_string("'x''y',#1") == "x'y" and p21.first_string("#1") is None
-    for text in ("it's", "未保存 é x", "back\\slash", ""):
+    assert p21.decode_string("don''t") == "don't" and p21.decode_string("\\X2\\03B103B2\\X0\\!") == "αβ!" and p21.decode_string("\\X\\DF") == "ß"
+    assert p21.decode_string("\\X2\\03") == "\\X2\\03" and p21.first_string("'5'' pipe',.T.") == "5' pipe" and p21.first_string("$,'late'") is None
+    for text in ("it's", "αβ ß x", "back\\slash", ""):
         assert p21.decode_string(p21.leading_string(p21.encode_string(text))).replace("\\\\", "\\") == text
-    assert p21.numbers("'',(1.,2.5E-1,-3.))", 3) == [1.0, 0.25, -3.0] and p21.numbers("- 1e 2", 9) == [2.0]
-    assert p21.first_argument(" .NEGATIVE. , #3") == ".NEGATIVE."
+    assert p21.numbers("'',(-7.5,4E1,.5,8.))", 3) == [-7.5, 40.0, 0.5] and p21.numbers("+ 3e 6", 9) == [6.0]
+    assert p21.first_argument("\t.UNSPECIFIED. ,$") == ".UNSPECIFIED."
 
 
 def test_lists_and_names():
-    assert p21.reference_list("(#1, #22 ,#3)x") == (13, [1, 22, 3]) and p21.reference_list("(#1,#2,(#3))") is None
-    assert p21.file_name("BREP 9", 14249) == "BREP_9-14249.stp" and p21.file_name("", 5) == "unnamed-5.stp"
+    assert p21.reference_list("( #90,#7 , #7 ),$") == (15, [90, 7, 7]) and p21.reference_list("(#90,$)") is None
+    assert p21.file_name("left plate", 31) == "left_plate-31.stp" and p21.file_name("??", 8) == "unnamed-8.stp"
     out = p21.wrapped_list(list(range(1000, 1040)))
     assert p21.reference_list(out)[1] == list(range(1000, 1040)) and max(map(len, out.split("\n"))) <= 74
-    assert p21.remap("A(#1,'#2',/*#3*/#4)", {1: 9, 2: 8, 3: 7, 4: 6}) == "A(#9,'#2',/*#3*/#6)"
+    assert p21.remap("PAIR(#11,'#12 it''s',/*#13*/#14,#15)", {11: 1, 12: 2, 13: 3, 14: 4}) == "PAIR(#1,'#12 it''s',/*#13*/#4,#15)"
+
+
+NUMBERS = ["7.0", "70.E-1", ".7e+1", "0.", "-0.0", "+0.0e5", "-3.50", "81000.", "0.00620", "1.", "10.0", "-.5E-3", "123456789012345678901234567890.125"]
 
 
 def test_exact_numbers():
-    assert p21.decimal_key("1.0") == p21.decimal_key("10.E-1") == "~R1E0" and p21.decimal_key("1") == "~I1"
-    assert p21.decimal_key("-0.") == "~R-0E0" != p21.decimal_key("0.0") and p21.decimal_key("1200.") == "~R12E2" and p21.decimal_key("0.0250") == "~R25E-3"
-    assert p21.direction_key(["2.", "-4.0", "0."]) == "1,-2,0" != p21.direction_key(["-1.", "2.", "0."])
+    assert {p21.decimal_key(x) for x in NUMBERS[:3]} == {"real:7e0"} and p21.decimal_key("7") == p21.decimal_key("+07") == "whole:7"
+    assert [p21.decimal_key(x) for x in NUMBERS[3:9]] == ["real:0e0", "real:-0e0", "real:0e0", "real:-35e-1", "real:81e3", "real:62e-4"]
+    assert p21.decimal_key(NUMBERS[-1]) == "real:123456789012345678901234567890125e-3"
+    for bad in ("", "+", ".", "e5", "1e", "1 ", "1.2.3"):
+        with pytest.raises(ValueError):
+            p21.decimal_key(bad)
+    assert p21.direction_key(["0.", "-3.", "1.5"]) == "0,-2,1" != p21.direction_key(["0.", "6.", "-3."])
     with pytest.raises(ValueError):
         p21.direction_key(["0.", "0."])
 
 
+def test_exact_numbers_as_a_column(spark):
+    got = spark.createDataFrame([(x,) for x in NUMBERS], "x string").select("x", p21.decimal_key_column(F.col("x")).alias("key")).collect()
+    assert [r.key for r in got] == [p21.decimal_key(r.x) for r in got]
+
+
 def test_operands_are_lossless():
-    text = "LINE('a''b',#3,(1.5,-2,.T.),$,*,\"0F\",B_SPLINE(7))"
+    text = "ARC_2D( 'it''s #1 (no)',#61 ,(-0.25,+8,.COUNTER_CLOCKWISE.,.5E2),$,*,\"3A\",CIRCLE_3(4.))/* 9 */;"
     parts = p21.operands(text)
-    assert p21.rebuilt(parts) == text and [t for t, _ in parts[0]] == [3, 0, 2, 1, 5, 6, 7, 4, 1]
-    assert p21.canonical("POINT ( 'name' , #5, /* c */ 1.50 )", {5: "@x"}, exact=True) == "POINT('',#@x,~R15E-1)"
+    assert p21.rebuilt(parts) == text and [k for k, _ in parts[0]] == ["text", "ref", "real", "whole", "name", "real", "blank", "star", "bits", "real"]
+    assert p21.canonical("KNOT ( 'k''1' ,/* c */ #61, 2.50,\n.T., 'a b' )", {61: "<p>"}, exact=True) == "KNOT('',#<p>,real:25e-1,.T.,'a b')"
+    assert p21.canonical("KNOT(#61,'k')", {61: "<p>"}) == "KNOT(#<p>,'k')" and p21.canonical("KNOT('k',3)", {}, blank_name=False) == "KNOT('k',3)"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tokens_leave_no_gap(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice("'\"#.+-eE_A9 0$*/(,)\n") for _ in range(400))
+    assert "".join(x for _, x in p21.tokens(text)) == text
 
 
 def test_columns_match_functions(spark):
-    rows = [("'x''y',#1", "BREP 9", 3), ("#2,.A. , 'q'", "", 5), ("'',(1.,2.5E-1,-3.,--,1e))", "__a  b__", 7)]
+    rows = [("'5'' pipe',#8", "left plate", 3), ("#8,.B. , 'late'", "", 5), ("'',(4.,-.5E1,6,-+,2e))", "__x  y__", 7)]
     frame = spark.createDataFrame(rows, "args string, name string, n int")
     got = frame.select(p21.first_string_column(F.col("args")).alias("s"), p21.first_argument_column(F.col("args")).alias("a"), p21.numbers_column(F.col("args")).alias("n"), p21.file_name_column(F.col("name"), F.col("n")).alias("f"), p21.udf_of(p21.first_string, "string")(F.col("args")).alias("d")).collect()
     for (args, name, n), r in zip(rows, got):
