@@ -23,6 +23,11 @@ def _hash_hex(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
 
 
+def _name(doc_id: Column, text: Column) -> Column:
+    """What a row's draw hashes: its id, or its text where the id is null, so that rows without one don't share a draw."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+
+
 def source_rates(docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA, epochs: float = 1.0) -> DataFrame:
     """(_source, n_docs, rate, cdf): one row per source. ``targets`` has (source, weight); without it weights are n_docs ** alpha.
 
@@ -52,14 +57,14 @@ def source_rates(docs: DataFrame, targets: DataFrame | None = None, alpha: float
 def mix_sources(docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """All columns of ``docs`` plus rate, n_copies, copy (1 to n_copies) and shuffle_key; one row per copy.
 
-    A null source is a source of its own. Rows that repeat an id get equal counts. A null id hashes as 'null'; texts are not looked at.
+    A null source is a source of its own. Rows that repeat an id get equal counts. Rows with a null id hash their text.
     Columns named like the added ones are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key", "_source", "n_docs", "cdf")
     rates = source_rates(docs, targets, alpha, epochs)
     if (rates.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
         rates = F.broadcast(rates)
-    u = (F.conv(F.substring(_hash_hex(seed, F.col("doc_id")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    u = (F.conv(F.substring(_hash_hex(seed, _name(F.col("doc_id"), F.col("text"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     counted = (
         docs.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE)))
         .join(rates, "_source")
@@ -67,7 +72,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, alpha: float
         .withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
         .where("n_copies > 0")
     )
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).withColumn("shuffle_key", _hash_hex(seed, F.lit("copy"), F.col("doc_id"), F.col("copy")))
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).withColumn("shuffle_key", _hash_hex(seed, F.lit("copy"), _name(F.col("doc_id"), F.col("text")), F.col("copy")))
     return copies.drop("_source", "n_docs", "cdf", "_u").repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
@@ -82,10 +87,10 @@ rates AS (SELECT s, pow(n::DOUBLE, {ALPHA}) / (SELECT sum(pow(n::DOUBLE, {ALPHA}
 ks AS (SELECT s, rate, k::INT AS k FROM rates, range(0, 4000) AS r(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 24)),
 lp AS (SELECT s, rate, k, -rate + coalesce(sum(CASE WHEN k > 0 THEN ln(rate / k) END) OVER (PARTITION BY s ORDER BY k), 0) AS log_p FROM ks),
 cdf AS (SELECT s, rate, k, sum(exp(log_p)) OVER (PARTITION BY s ORDER BY k) AS c FROM lp),
-u AS (SELECT doc_id, source, text, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+u AS (SELECT doc_id, source, text, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
 counted AS (SELECT u.doc_id, u.source, u.text, cdf.rate, count(*) FILTER (WHERE cdf.c <= u.u) AS n_copies
   FROM u JOIN cdf ON cdf.s = coalesce(u.source, '{NO_SOURCE}') GROUP BY ALL)
 SELECT doc_id, source, text, n_copies::INT AS n_copies, copy::INT AS copy, round(rate, 6) AS rate,
-  md5('{SEED}:copy:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key
+  md5('{SEED}:copy:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, '')) || ':' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted)
 """
