@@ -113,8 +113,8 @@ def policy_closure(edges: DataFrame, seeds: DataFrame, keyed: DataFrame, listed:
         touched = listed.join(newest, listed["member"] == newest["id"]).select("part", "owner").distinct()
         if kept is not None:
             touched = touched.join(kept.select("part", "owner").distinct(), ["part", "owner"], "left_anti")
-        there = listed.join(rows, listed["member"] == rows["id"]).select("part", "owner", "pos", "member")
-        narrowed = cut(there.join(cut(touched), ["part", "owner"], "left_semi"))
+        offered = listed.join(sized(cut(touched)), "owner").select("part", "owner", "pos", "member")
+        narrowed = cut(offered.join(rows.withColumnRenamed("id", "member"), ["part", "member"], "left_semi").select("part", "owner", "pos", "member"))
         owners = narrowed.select("part", F.col("owner").alias("id")).distinct()
         # A kept member is in the part already, so only what keyed owners bring is followed.
         grown = forward_closure(edges, plain, visited=rows).select("part", "id")
@@ -160,14 +160,13 @@ def propagate(edges: DataFrame, owned: DataFrame, max_rounds: int | None = None)
     """(id, owner, round): owners spread over ``edges(row, a, b)`` in both directions to ids that have none. Of several that reach an id in its
     first round, the edge with the least row wins."""
     both = edges.select("row", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select("row", F.col("b").alias("x"), F.col("a").alias("y")))
-    seen = cut(owned.select("id", "owner").withColumn("round", F.lit(0)))
+    seen = newest = cut(owned.select("id", "owner").withColumn("round", F.lit(0)))
     for k in _rounds(max_rounds):
-        newest = seen.where(F.col("round") == k - 1)
         offered = newest.join(both, newest["id"] == both["x"]).groupBy(F.col("y").alias("id")).agg(F.min_by("owner", F.struct("row", "owner")).alias("owner"))
         fresh = cut(offered.join(seen.select("id"), "id", "left_anti").withColumn("round", F.lit(k)))
         if fresh.isEmpty():
             break
-        seen = seen.unionByName(fresh)
+        seen, newest = seen.unionByName(fresh), fresh
     return seen
 
 
@@ -213,9 +212,8 @@ def bijection(pairs: DataFrame, left: DataFrame, right: DataFrame, max_rounds: i
 
     ``left`` and ``right``: (src, pos, dst, label); labels of the sources must agree and so must the positions that they have.
     """
-    seen = cut(pairs.select("a", "b").distinct().withColumn("round", F.lit(0)))
+    seen = newest = cut(pairs.select("a", "b").distinct().withColumn("round", F.lit(0)))
     for k in _rounds(max_rounds):
-        newest = seen.where(F.col("round") == k - 1)
         one = newest.join(left.select(F.col("src").alias("a"), "pos", F.col("dst").alias("x"), F.col("label").alias("la")), "a")
         two = newest.join(right.select(F.col("src").alias("b"), "pos", F.col("dst").alias("y"), F.col("label").alias("lb")), "b")
         met = one.join(two, ["a", "b", "pos"], "full_outer")
@@ -224,6 +222,6 @@ def bijection(pairs: DataFrame, left: DataFrame, right: DataFrame, max_rounds: i
         fresh = cut(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(seen, ["a", "b"], "left_anti").withColumn("round", F.lit(k)))
         if fresh.isEmpty():
             break
-        seen = seen.unionByName(fresh)
+        seen, newest = seen.unionByName(fresh), fresh
     twice = seen.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1").isEmpty() and seen.groupBy("b").agg(F.count_distinct("a").alias("n")).where("n > 1").isEmpty()
     return seen.select("a", "b"), twice
