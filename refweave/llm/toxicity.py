@@ -9,6 +9,7 @@ compounded words share. A document has a term or not; how often does not count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,11 @@ def terms(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None)
 
 
 class Machine:
-    def __init__(self, weight: np.ndarray, factor: np.ndarray, known: np.ndarray, bias: float):
+    """A score is the sigmoid of ``slope`` * odds + ``shift``."""
+
+    def __init__(self, weight: np.ndarray, factor: np.ndarray, known: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.weight, self.factor, self.known, self.bias = weight, factor, known, bias
+        self.slope, self.shift = slope, shift
 
     def odds(self, ids: np.ndarray, of: np.ndarray) -> np.ndarray:
         total = sum_by(self.weight[ids], of) + self.bias
@@ -66,21 +70,42 @@ class Machine:
         return total
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.odds(*terms(*buffer_of(texts), self.known)), -30, 30)))
-
-
-def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], seed: int = SEED) -> Machine:
-    """Stochastic gradient descent with per-parameter rates (squared gradients summed). Weights are averaged duals: a term keeps none while its
-    summed gradients stay within ``SHRINK``; its factors shrink at each step. The bias is shifted to the labels' own frequencies.
-    With one label only, or none, all scores are that label's (none: 0)."""
+        odds = self.odds(*terms(*buffer_of(texts), self.known))
+        return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -30, 30)))
+
+
+def calibrate(odds: np.ndarray, labels: np.ndarray, sizes: dict[int, int]) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve through odds of documents that were not learned from, by Newton steps. Each label's documents
+    weigh together what ``sizes`` says; targets are (n + 1) / (n + 2), so that separable odds have a finite slope."""
+    seen = np.array([(labels == k).sum() for k in (0, 1)])
+    much = np.array([max(1, sizes.get(k, 0)) for k in (0, 1)]) / seen
+    target = np.where(labels == 1, (seen[1] + 1) / (seen[1] + 2), 1 / (seen[0] + 2))
+    weigh = much[labels] / much[labels].sum()
+    x = np.stack([odds, np.ones(len(odds))])
+    at = np.array([0.0, np.log(much[1] * seen[1] / (much[0] * seen[0]))])
+
+    def loss(p: np.ndarray) -> float:
+        v = p @ x
+        return float((weigh * (np.logaddexp(0, v) - target * v)).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        g = x @ (weigh * (p - target))
+        step = np.linalg.solve((x * (weigh * p * (1 - p))) @ x.T + 1e-9 * np.eye(2), g)
+        now = loss(at)
+        while loss(at - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        at = at - step
+        if np.abs(step).max() < 1e-7:
+            break
+    return max(0.0, float(at[0])), float(at[1])
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Machine:
+    """Stochastic gradient descent with per-parameter rates (squared gradients summed), both labels weighing the same. Weights are averaged
+    duals: a term keeps none while its summed gradients stay within ``SHRINK``; its factors shrink at each step."""
     weight, factor = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
-    known = np.zeros(1 << BITS, bool)
     seen = [int((labels == k).sum()) for k in (0, 1)]
-    if not all(seen):
-        return Machine(weight, factor, known, 4.0 if seen[1] else -4.0)
-    rows = []
-    for i in range(len(labels)):
-        rows.append(terms(*buffer_of(texts.slice(i, 1)))[0])
     docs = np.bincount(np.concatenate(rows), minlength=1 << BITS)
     known = docs >= LEAST_DOCS
     rows = [r[known[r]] for r in rows]
@@ -111,8 +136,31 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], see
             factor[ids] = np.sign(f) * np.maximum(np.abs(f) - step * SHRINK_PAIRS * chance[ids][:, None] * np.abs(others), 0)
             bias2 += g * g
             bias -= RATE * g / np.sqrt(bias2)
-    prior = np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0)))
-    return Machine(weight, factor, known, float(bias + 0.5 * prior))
+    return Machine(weight, factor, known, float(bias))
+
+
+def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], seed: int = SEED) -> Machine:
+    """A machine of all texts, calibrated on odds that two others, of a half each, have for the other half. Halves are by hash of the text,
+    so equal texts share one. Where a half lacks a label, the labels' frequencies shift the odds instead.
+    With one label only, or none, all scores are that label's (none: 0)."""
+    labels = np.asarray(labels).astype(np.int64)
+    seen = [int((labels == k).sum()) for k in (0, 1)]
+    if not all(seen):
+        return Machine(np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), np.zeros(1 << BITS, bool), 4.0 if seen[1] else -4.0)
+    rows = [terms(*buffer_of(texts.slice(i, 1)))[0] for i in range(len(labels))]
+    machine = descend(rows, labels, seed)
+    half = np.array([crc32((t or "").encode()) & 1 for t in texts.to_pylist()])
+    if len(np.unique(2 * half + labels)) < 4:
+        machine.shift = float(np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))))
+        return machine
+    odds = np.zeros(len(labels))
+    for k in (0, 1):
+        mine, others = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        one = descend([rows[i] for i in mine], labels[mine], seed)
+        kept = [rows[i][one.known[rows[i]]] for i in others]
+        odds[others] = one.odds(np.concatenate(kept), np.cumsum([0, *map(len, kept)]))
+    machine.slope, machine.shift = calibrate(odds, labels, sizes)
+    return machine
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD, per_class: int = PER_CLASS) -> Machine:

@@ -361,6 +361,20 @@ def test_toxicity_held_out_and_pairs(spark):
     assert float((total[0] * total[1]).sum()) != 0
 
 
+def test_toxicity_calibration_is_the_least_weighted_loss():
+    rng = np.random.default_rng(3)
+    labels = np.array([0] * 300 + [1] * 200)
+    odds = rng.normal(0, 1, 500) + 1.5 * labels
+    slope, shift = toxicity.calibrate(odds, labels, {0: 3000, 1: 200})
+    many = np.where(labels == 1, 1.0, 10.0)
+    target = np.where(labels == 1, 201 / 202, 1 / 302)
+    loss = lambda a, b: (many * (np.logaddexp(0, a * odds + b) - target * (a * odds + b))).sum()
+    grid = [(loss(slope + da, shift + db), da, db) for da in (-0.02, 0, 0.02) for db in (-0.02, 0, 0.02)]
+    assert min(grid)[1:] == (0, 0)
+    apart = toxicity.calibrate(np.where(labels == 1, 1.0, -3.0), labels, {0: 3000, 1: 200})
+    assert 0 < apart[0] < 50 and -3 < -apart[1] / apart[0] < 1
+
+
 def test_toxicity_hears_pairs_and_rare_terms_that_one_term_counts_hide():
     rng = random.Random(4)
     noise = lambda: [f"n{rng.randrange(50)}" for _ in range(8)]
