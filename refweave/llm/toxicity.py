@@ -104,39 +104,44 @@ def calibrate(odds: np.ndarray, labels: np.ndarray, sizes: dict[int, int]) -> tu
 def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Machine:
     """Stochastic gradient descent with per-parameter rates (squared gradients summed), both labels weighing the same. Weights are averaged
     duals: a term keeps none while its summed gradients stay within ``SHRINK``; its factors shrink at each step."""
-    weight, factor = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
     seen = [int((labels == k).sum()) for k in (0, 1)]
     docs = np.bincount(np.concatenate(rows), minlength=1 << BITS)
     known = docs >= LEAST_DOCS
-    rows = [r[known[r]] for r in rows]
+    place, n, docs = np.cumsum(known) - 1, int(known.sum()), docs[known]
+    rows = [place[r[known[r]]] for r in rows]  # the arrays of learning hold the known terms alone
     rng = np.random.default_rng(seed)
-    factor[known] = rng.normal(0, 0.01, (int(known.sum()), FACTORS))
-    weight2, factor2, bias, bias2 = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32), 0.0, 1e-2
+    weight, factor = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32)
+    weight2, factor2, bias, bias2 = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 0.0, 1e-2
     share = seen[1] / len(labels)
-    chance = (0.25 / np.sqrt(share * (1 - share) * np.maximum(docs, 1))).astype(np.float32)
-    dual, visits = np.zeros(1 << BITS, np.float32), docs.astype(np.float32)
+    chance = (0.25 / np.sqrt(share * (1 - share) * docs)).astype(np.float32)
+    dual, visits = np.zeros(n, np.float32), docs.astype(np.float32)
     balance = [len(labels) / (2 * n) for n in seen]
     for _ in range(EPOCHS):
         for i in rng.permutation(len(labels)):
             ids = rows[i]
-            f = factor[ids]
+            f, chances = factor[ids], chance[ids]
             total = f.sum(axis=0)
-            odds = bias + weight[ids].sum() + 0.5 * float((total * total - (f * f).sum(axis=0)).sum())
-            g = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[i]) * balance[labels[i]]
-            weight2[ids] += g * g
-            dual[ids] += g
-            visits[ids] += 1
-            left = np.maximum(np.abs(dual[ids]) - SHRINK * chance[ids] * visits[ids], 0)
-            weight[ids] = -RATE * np.sign(dual[ids]) * left / np.sqrt(weight2[ids])
+            odds = float(bias + weight[ids].sum() + 0.5 * ((total * total).sum() - np.vdot(f, f)))
+            g = float((1 / (1 + np.exp(-min(30.0, max(-30.0, odds)))) - labels[i]) * balance[labels[i]])
+            squares, summed, seen_by = weight2[ids] + g * g, dual[ids] + g, visits[ids] + 1
+            weight2[ids], dual[ids], visits[ids] = squares, summed, seen_by
+            left = np.maximum(np.abs(summed) - SHRINK * chances * seen_by, 0)
+            weight[ids] = np.copysign(RATE * left / np.sqrt(squares), -summed)
             others = total - f
             gf = g * others
-            factor2[ids] += gf * gf
-            step = 0.1 * RATE / np.sqrt(factor2[ids])
-            f = f - step * gf
-            factor[ids] = np.sign(f) * np.maximum(np.abs(f) - step * SHRINK_PAIRS * chance[ids][:, None] * np.abs(others), 0)
+            squares = factor2[ids]
+            squares += gf * gf
+            factor2[ids] = squares
+            step = 0.1 * RATE / np.sqrt(squares)
+            f -= step * gf
+            step *= np.abs(others)
+            step *= (SHRINK_PAIRS * chances)[:, None]
+            factor[ids] = np.copysign(np.maximum(np.abs(f) - step, 0), f)
             bias2 += g * g
-            bias -= RATE * g / np.sqrt(bias2)
-    return Machine(weight, factor, known, float(bias))
+            bias -= RATE * g / bias2**0.5
+    all_weights, all_factors = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
+    all_weights[known], all_factors[known] = weight, factor
+    return Machine(all_weights, all_factors, known, float(bias))
 
 
 def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], seed: int = SEED) -> Machine:
