@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import TypeVar
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shared import BROADCAST_ROWS, cut, shared_folder, sized, table
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "learn_in_task", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
+__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "learn_in_task", "learn_in_tasks", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
 
 T = TypeVar("T")
 #: Word separators; words are ``[^\x20\x09-\x0D]+``.
@@ -50,19 +51,28 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
 
 
-def learn_in_task(rows: DataFrame, learn: Callable[[pa.Table], T]) -> T:
-    """What ``learn`` makes of all ``rows``, a bounded sample, in one task: the driver holds no more than the outcome, and a lost executor
-    costs a repetition. Rows come in order of doc_id and text, so that every run learns the same."""
+def learn_in_tasks(rows: DataFrame, learns: list[Callable[[pa.Table], T]]) -> list[T]:
+    """What each of ``learns`` makes of all ``rows``, a bounded sample, each in a task of its own: the driver holds no more than the outcomes,
+    and a lost executor costs a repetition. Rows come in order of doc_id and text, so that every run learns the same."""
     schema = to_arrow_schema(rows.schema)
 
-    def told(batches: list[pa.RecordBatch]) -> T:
-        return learn(pa.Table.from_batches(batches, schema).sort_by([("doc_id", "ascending"), ("text", "ascending")]))
+    def in_order(batches: list[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches(batches, schema).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+    def task(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(learns[k](in_order([b.cast(schema) for b in batches])))], pa.binary())], names=["k", "outcome"])
+
+        return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(told([b.cast(schema) for b in batches]))], pa.binary())], names=["outcome"])
+    one = rows.repartition(1)
+    tasks = [one.mapInArrow(task(k), "k int, outcome binary") for k in range(len(learns))]
+    out = {r["k"]: pickle.loads(r["outcome"]) for r in reduce(DataFrame.unionAll, tasks).collect()}  # a row for each of ``learns``
+    return [out[k] if k in out else learn(in_order([])) for k, learn in enumerate(learns)]
 
-    out = rows.repartition(1).mapInArrow(run, "outcome binary").collect()  # one row
-    return pickle.loads(out[0][0]) if out else told([])
+
+def learn_in_task(rows: DataFrame, learn: Callable[[pa.Table], T]) -> T:
+    return learn_in_tasks(rows, [learn])[0]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, per_class: int, max_chars: int, seed: int) -> tuple[DataFrame, dict[int, int]]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, labelled_sample, learn_in_task, table
+from .common import bucket, labelled_sample, learn_in_tasks, table
 from .textvec import LOWER_VALUE, NOT_TERM, U64, Words, buffer_of, mix, pieces, span_hash, sum_by
 
 BITS = 18
@@ -144,33 +144,64 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Machine:
     return Machine(all_weights, all_factors, known, float(bias))
 
 
-def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], seed: int = SEED) -> Machine:
-    """A machine of all texts, calibrated on odds that two others, of a half each, have for the other half. Halves are by hash of the text,
-    so equal texts share one. Where a half lacks a label, the labels' frequencies shift the odds instead.
-    With one label only, or none, all scores are that label's (none: 0)."""
-    labels = np.asarray(labels).astype(np.int64)
-    seen = [int((labels == k).sum()) for k in (0, 1)]
-    if not all(seen):
+class Sample:
+    """What there is to learn from: distinct terms of each text, labels, and the half that a text's hash puts it in (equal texts share one)."""
+
+    def __init__(self, texts: pa.ChunkedArray, labels: np.ndarray):
+        self.labels = np.asarray(labels).astype(np.int64)
+        self.rows = [terms(*buffer_of(texts.slice(i, 1)))[0] for i in range(len(self.labels))]
+        self.half = np.array([crc32((t or "").encode()) & 1 for t in texts.to_pylist()], np.int64)
+
+    def seen(self) -> list[int]:
+        return [int((self.labels == k).sum()) for k in (0, 1)]
+
+    def whole(self, seed: int) -> Machine:
+        """A machine of all texts, not calibrated. With one label only, or none, all scores are that label's (none: 0)."""
+        seen = self.seen()
+        if all(seen):
+            return descend(self.rows, self.labels, seed)
         return Machine(np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), np.zeros(1 << BITS, bool), 4.0 if seen[1] else -4.0)
-    rows = [terms(*buffer_of(texts.slice(i, 1)))[0] for i in range(len(labels))]
-    machine = descend(rows, labels, seed)
-    half = np.array([crc32((t or "").encode()) & 1 for t in texts.to_pylist()])
-    if len(np.unique(2 * half + labels)) < 4:
+
+    def across(self, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(odds, labels) of one half's texts from a machine of the other half, ``k``; none where a half lacks a label."""
+        if len(np.unique(2 * self.half + self.labels)) < 4:
+            return np.zeros(0), np.zeros(0, np.int64)
+        mine, others = np.flatnonzero(self.half == k), np.flatnonzero(self.half != k)
+        one = descend([self.rows[i] for i in mine], self.labels[mine], seed)
+        kept = [self.rows[i][one.known[self.rows[i]]] for i in others]
+        return one.odds(np.concatenate(kept), np.cumsum([0, *map(len, kept)])), self.labels[others]
+
+
+def calibrated(machine: Machine, seen: list[int], parts: list[tuple[np.ndarray, np.ndarray]], sizes: dict[int, int]) -> Machine:
+    """The machine, calibrated on what two others, of a half each, said of the other half. Where a half lacks a label, the labels' frequencies
+    shift the odds instead; with one label only nothing does."""
+    odds, labels = (np.concatenate(x) for x in zip(*parts))
+    if len(odds):
+        machine.slope, machine.shift = calibrate(odds, labels, sizes)
+    elif all(seen):
         machine.shift = float(np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))))
-        return machine
-    odds = np.zeros(len(labels))
-    for k in (0, 1):
-        mine, others = np.flatnonzero(half == k), np.flatnonzero(half != k)
-        one = descend([rows[i] for i in mine], labels[mine], seed)
-        kept = [rows[i][one.known[rows[i]]] for i in others]
-        odds[others] = one.odds(np.concatenate(kept), np.cumsum([0, *map(len, kept)]))
-    machine.slope, machine.shift = calibrate(odds, labels, sizes)
     return machine
 
 
+def train(texts: pa.ChunkedArray, labels: np.ndarray, sizes: dict[int, int], seed: int = SEED) -> Machine:
+    """The three machines one after the other, in this process."""
+    sample = Sample(texts, labels)
+    return calibrated(sample.whole(seed), sample.seen(), [sample.across(k, seed) for k in (0, 1)], sizes)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD, per_class: int = PER_CLASS) -> Machine:
+    """The three machines, each in a task of its own."""
     rows, sizes = labelled_sample(docs, labels, "toxic", folds, fold, per_class, MAX_CHARS, SEED)
-    return learn_in_task(rows, lambda known: train(known.column("text"), known.column("label").to_numpy(), sizes))
+
+    def sample(known: pa.Table) -> Sample:
+        return Sample(known.column("text"), known.column("label").to_numpy())
+
+    def whole(known: pa.Table) -> tuple[Machine, list[int]]:
+        of = sample(known)
+        return of.whole(SEED), of.seen()
+
+    (machine, seen), *parts = learn_in_tasks(rows, [whole, lambda known: sample(known).across(0, SEED), lambda known: sample(known).across(1, SEED)])
+    return calibrated(machine, seen, parts, sizes)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
