@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import TypeVar
 
 import pyarrow as pa
@@ -59,15 +58,16 @@ def learn_in_tasks(rows: DataFrame, learns: list[Callable[[pa.Table], T]]) -> li
     def in_order(batches: list[pa.RecordBatch]) -> pa.Table:
         return pa.Table.from_batches(batches, schema).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
-    def task(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(learns[k](in_order([b.cast(schema) for b in batches])))], pa.binary())], names=["k", "outcome"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            k = held[0].column(0)[0].as_py()  # a partition has the rows of one learner
+            told = learns[k](in_order([b.drop_columns(["_k"]).cast(schema) for b in held]))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(told)], pa.binary())], names=["k", "outcome"])
 
-        return run
-
-    one = rows.repartition(1)
-    tasks = [one.mapInArrow(task(k), "k int, outcome binary") for k in range(len(learns))]
-    out = {r["k"]: pickle.loads(r["outcome"]) for r in reduce(DataFrame.unionAll, tasks).collect()}  # a row for each of ``learns``
+    numbers = F.explode(F.array(*[F.lit(k) for k in range(len(learns))])).alias("_k")
+    tasks = rows.select(numbers, *rows.columns).repartitionById(len(learns), "_k").mapInArrow(run, "k int, outcome binary")
+    out = {r["k"]: pickle.loads(r["outcome"]) for r in tasks.collect()}  # a row for each of ``learns``
     return [out[k] if k in out else learn(in_order([])) for k, learn in enumerate(learns)]
 
 
