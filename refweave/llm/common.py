@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -10,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import textvec
 from ..shared import BROADCAST_ROWS, cut, shared_folder, sized, table
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "learn_in_task", "learn_in_tasks", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
+__all__ = ["BROADCAST_ROWS", "SPACES", "bucket", "cut", "labelled_sample", "labels_of", "learn_in_task", "learn_in_tasks", "map_in_arrow", "pick", "row_key", "shared_folder", "sized", "table", "uniform"]
 
 T = TypeVar("T")
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Word separators; words are ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -50,6 +53,30 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
 
 
+def give_back() -> None:
+    """Hands memory that a finished task held back to the system: a worker stays, idle, beside the executor's later stages."""
+    textvec.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others hand back by themselves
+    if trim:
+        trim(0)
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, in batches of about ``BATCH_BYTES``, of which JVM and worker hold several copies for each running task; workers give
+    memory back at the end of a task. The session keeps the batch size, unless it has a smaller one."""
+    conf = df.sparkSession.conf
+    given = conf.get(BATCH_SETTING).rstrip("bB")
+    if not (given.isdigit() and 0 < int(given) <= BATCH_BYTES):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def learn_in_tasks(rows: DataFrame, learns: list[Callable[[pa.Table], T]]) -> list[T]:
     """What each of ``learns`` makes of all ``rows``, a bounded sample, each in a task of its own: the driver holds no more than the outcomes,
     and a lost executor costs a repetition. Rows come in order of doc_id and text, so that every run learns the same."""
@@ -66,7 +93,7 @@ def learn_in_tasks(rows: DataFrame, learns: list[Callable[[pa.Table], T]]) -> li
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(told)], pa.binary())], names=["k", "outcome"])
 
     numbers = F.explode(F.array(*[F.lit(k) for k in range(len(learns))])).alias("_k")
-    tasks = rows.select(numbers, *rows.columns).repartitionById(len(learns), "_k").mapInArrow(run, "k int, outcome binary")
+    tasks = map_in_arrow(rows.select(numbers, *rows.columns).repartitionById(len(learns), "_k"), run, "k int, outcome binary")
     out = {r["k"]: pickle.loads(r["outcome"]) for r in tasks.collect()}  # a row for each of ``learns``
     return [out[k] if k in out else learn(in_order([])) for k, learn in enumerate(learns)]
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, cut, learn_in_task, pick, sized, table
+from .common import bucket, cut, learn_in_task, map_in_arrow, pick, sized, table
 from .textvec import buffer_of, pieces
 
 WINDOW = 128
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
                 lang, score = network.predict(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

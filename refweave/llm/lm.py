@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, cut, sized, table, uniform
+from .common import bucket, cut, map_in_arrow, sized, table, uniform
 from .gru import END, OUTSIDE, Model
 from .textvec import LOWER_VALUE, U64, Words, buffer_of, pieces, sum_by
 
@@ -68,7 +68,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if words:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return map_in_arrow(docs.select("text"), run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
@@ -184,9 +184,9 @@ def learn_everywhere(training: DataFrame, lexicon: Lexicon, model: Model) -> Mod
     salted = keyed.join(sized(often.withColumn("_often", F.lit(True))), "_key", "left").withColumn("_salt", F.when(F.col("_often"), F.floor(F.rand(SEED) * tasks)).otherwise(0))
     dealt = salted.repartition(tasks, "_key", "_salt").sortWithinPartitions("_key").select("text")
     changed = "chunk int, n long, change array<double>"
-    learned = dealt.mapInArrow(learn, "chunk int, n long, change array<float>").withColumn("_some", F.spark_partition_id() % ADDED_FIRST)
-    added = learned.repartition("chunk", "_some").select("chunk", "n", "change").mapInArrow(add, changed)
-    rows = added.repartition("chunk").mapInArrow(add, changed).toArrow()
+    learned = map_in_arrow(dealt, learn, "chunk int, n long, change array<float>").withColumn("_some", F.spark_partition_id() % ADDED_FIRST)
+    added = map_in_arrow(learned.repartition("chunk", "_some").select("chunk", "n", "change"), add, changed)
+    rows = map_in_arrow(added.repartition("chunk"), add, changed).toArrow()
     flat = start.astype(np.float64)
     for k, n, change in zip(rows.column("chunk").to_pylist(), rows.column("n").to_pylist(), rows.column("change")):
         flat[k * CHUNK : k * CHUNK + len(change)] += change.values.to_numpy() / n
@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> Da
     lexicon = make_lexicon(counts, training)
     model = learn_everywhere(training, lexicon, start_model(training, lexicon))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_score(lexicon, model.flat()), f"doc_id {id_type}, n_tokens long, _known long, _base double, _score double, _rare array<long>")
+    scored = map_in_arrow(docs.select("doc_id", "text"), _score(lexicon, model.flat()), f"doc_id {id_type}, n_tokens long, _known long, _base double, _score double, _rare array<long>")
     scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))  # cut, so a row keeps its number
     rare = scored.select("_row", F.explode("_rare").alias("w")).groupBy("_row", "w").agg(F.count("*").alias("_tf"))
     found = rare.join(counts, "w", "left").select("_row", "_tf", F.coalesce("c", F.lit(0)).alias("_c"))

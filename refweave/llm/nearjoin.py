@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
-from .common import cut, row_key, sized, table
+from .common import cut, map_in_arrow, row_key, sized, table
 from .textvec import U64, Words, buffer_of, mix, pieces
 
 WORDS = 5
@@ -235,7 +235,7 @@ def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, rec
     """
     bands, rows = choose_bands(threshold, recall)
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
-    signed = cut(keyed.mapInArrow(_sign(bands, rows, n), f"_k1 long, _k2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, _f1 long, _f2 long, _n long, _bands array<long>"))
+    signed = cut(map_in_arrow(keyed, _sign(bands, rows, n), f"_k1 long, _k2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, _f1 long, _f2 long, _n long, _bands array<long>"))
     # A member: all rows with one n-gram set. Its name is a number that no other member has, fixed as it is written.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")).alias("_least")
     members = signed.where("_n > 0").groupBy("_f1", "_f2", "_n").agg(F.count("*").alias("_copies"), least, F.min("_bands").alias("_bands"))
@@ -254,14 +254,14 @@ def link_near(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, rec
     source = cut(wanted.select("_rep", F.col("_least._k1").alias("_k1"), F.col("_least._k2").alias("_k2")))
     # By _rep, not by the join's keys: a row that is repeated very often is cut down before the shuffle, and the join's rows can be split.
     texts = keyed.select("_k1", "_k2", "text").join(sized(source), ["_k1", "_k2"]).select("_rep", "text").dropDuplicates(["_rep"])
-    sets = texts.mapInArrow(_sets(n), "_rep long, _set array<long>")
+    sets = map_in_arrow(texts, _sets(n), "_rep long, _set array<long>")
     profile = members.select("_rep", "_copies", "_bands").join(sets, "_rep")
     cells = inside.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
         "_rep", "_bucket", "_mask", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), F.when(F.col("_block") <= F.col("_other"), 0).otherwise(1).alias("_side")
     )
     dealt = cells.join(profile, "_rep").select("_bucket", "_x", "_y", "_rep", "_copies", "_side", "_mask", "_bands", "_set")
     dealt = dealt.repartition("_bucket", "_x", "_y").sortWithinPartitions("_bucket", "_x", "_y")
-    compared = cut(dealt.mapInArrow(_compare(threshold), "_a long, _b long, _links long"))
+    compared = cut(map_in_arrow(dealt, _compare(threshold), "_a long, _b long, _links long"))
     links = compared.where("_links is not null").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_links").alias("_other_links"))
     rooted = components(compared.where("_b is not null").select("_a", "_b"), "_a", "_b").toDF("_rep", "_root")
     found = cut(links.join(rooted, "_rep", "full_outer"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, labelled_sample, learn_in_task, table
+from .common import bucket, labelled_sample, learn_in_task, map_in_arrow, table
 from .textvec import U64, Words, buffer_of, mix, pieces, span_hash, sum_by
 
 BITS = 17
@@ -119,7 +119,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame
     A null or blank text has no features: its score is that of the labels' frequencies. Repeated rows get equal scores; other columns go.
     """
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(_score(*model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_in_arrow(kept, _score(*model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], least: float = KEEP) -> DataFrame:
@@ -135,7 +135,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], least: float = K
                 score = score_piece(piece.column(piece.schema.get_field_index("text")), *model)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score)], names=[*piece.schema.names, "score"]).filter(pa.array(score >= least))
 
-    return docs.select(*names).mapInArrow(run, schema).drop("score")
+    return map_in_arrow(docs.select(*names), run, schema).drop("score")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, labels_of, sized, table
+from .common import cut, labels_of, map_in_arrow, sized, table
 from .textvec import U64, Words, buffer_of, mix, pieces, span_hash, sum_by
 
 BITS = 16
@@ -101,7 +101,7 @@ def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket, of counts over all documents. Without a target all are 0: nothing is held against a document."""
     good = cut(labels_of(labels, "quality").where("label = 1").select("doc_id"))
     marked = docs.select("doc_id", "text").join(sized(good.withColumn("_good", F.lit(True))), "doc_id", "left").select(F.coalesce("_good", F.lit(False)).alias("_trusted"), "text")
-    rows = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    rows = map_in_arrow(marked, _count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = rows.column("bucket").to_numpy()
     raw[at], target[at] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
@@ -135,7 +135,7 @@ def apply_rules(docs: DataFrame, ratio: np.ndarray, least: float = LEAST_RATIO)
                 llr = total / np.maximum(number, 1)
                 yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, counts.values()), pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= least))], names=["doc_id", *counts, "base_failed", "llr", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return map_in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

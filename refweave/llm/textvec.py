@@ -48,6 +48,11 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def forget() -> None:
+    """Drops the tables of powers, which grow with the longest piece."""
+    _powers.clear()
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and the n + 1 offsets of the texts in them. A null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):

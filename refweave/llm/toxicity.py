@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket, labelled_sample, learn_in_tasks, table
+from .common import bucket, labelled_sample, learn_in_tasks, map_in_arrow, table
 from .textvec import LOWER_VALUE, NOT_TERM, U64, Words, buffer_of, mix, pieces, span_hash, sum_by
 
 BITS = 18
@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
             for piece in pieces(batch):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(machine.score(piece.column(1)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
