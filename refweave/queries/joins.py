@@ -211,10 +211,11 @@ def j15_x13_nearest_centre(spark, d):
 
 @query("""WITH m AS (SELECT o_orderkey AS id, o_custkey AS k, round(o_totalprice / 50000) AS q FROM orders) SELECT b.id AS candidate, min(a.id) AS reference FROM m a JOIN m b ON a.k = b.k AND a.q = b.q AND a.id < b.id GROUP BY 1""")
 def j17_blocked_candidates(spark, d):
-    """Each candidate with the first earlier one of its block: the block's least id, which needs no pairs."""
-    m = table(spark, d, "orders").select(c("o_orderkey").alias("candidate"), c("o_custkey").alias("k"), F.rint(c("o_totalprice") / 50000).alias("q"))
+    """Each candidate with the first earlier one of its blocks: the block's least id, which needs no pairs. Halves round away from zero, and an
+    id that is there more than once, in one block or several, is one candidate."""
+    m = table(spark, d, "orders").select(c("o_orderkey").alias("candidate"), c("o_custkey").alias("k"), F.round(c("o_totalprice") / 50000).alias("q"))
     first = m.groupBy("k", "q").agg(F.min("candidate").alias("reference"))
-    return m.join(first, ["k", "q"]).where("candidate <> reference").select("candidate", "reference")
+    return m.join(first, ["k", "q"]).where("candidate <> reference").groupBy("candidate").agg(F.min("reference").alias("reference"))
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_orderstatus AS v FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_orderstatus AS v FROM orders WHERE o_totalprice < 490000)
