@@ -1,7 +1,9 @@
 """Queries on tables that the given ones don't show: ties, repeated keys, and what a run leaves and writes."""
 
 import duckdb
+from pyspark.sql import functions as F
 from refweave import catalog
+from refweave.operators import graph
 
 
 def against_sql(spark, folder, name, **tables):
@@ -21,3 +23,31 @@ def test_blocks_with_halves_and_repeated_orders(spark, tmp_path):
     rows = "(1, 7, 25000.0), (2, 7, 60000.0), (3, 7, 125000.0), (6, 7, 150000.0), (4, 7, 50000.0), (4, 7, 51000.0), (0, 8, 10.0), (5, 8, 20.0), (5, 7, 49000.0)"
     got, want = against_sql(spark, tmp_path, "j17_blocked_candidates", orders=f"SELECT a::BIGINT AS o_orderkey, b::BIGINT AS o_custkey, c::DOUBLE AS o_totalprice FROM (VALUES {rows}) t(a, b, c)")
     assert got == want == [(2, 1), (4, 1), (5, 0), (6, 3)]
+
+
+def shuffled(spark, run):
+    """(result, bytes that the run wrote to shuffles), with joins by shuffle as on large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    try:
+        before = written()
+        out = run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return out, written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_narrowed_lists_are_never_spread_out(spark):
+    """300 parts with a member each of one list of 3000: 300 kept rows, not 900,000 on the way."""
+    seeds = spark.range(300).select(F.col("id").alias("part"), F.col("id"))
+    listed = spark.range(3000).select(F.lit(-1).cast("long").alias("owner"), F.col("id").alias("pos"), F.col("id").alias("member"))
+    none = spark.createDataFrame([], "src long, dst long")
+
+    def run():
+        rows, kept, ended = graph.policy_closure(none, seeds, none.toDF("owner", "target"), listed)
+        assert rows.count() == 600 and ended
+        return kept.count()
+
+    found, size = shuffled(spark, run)
+    assert found == 300 and size < 1_000_000
