@@ -40,9 +40,14 @@ def overlay(base: DataFrame, layers: list[tuple[DataFrame, str]], settings: list
 
 def coverage(entities: DataFrame, membership: DataFrame, key: str = "id", part: str = "part") -> DataFrame:
     """(type, in_none, in_one, in_many): in how many parts the entities of a type are."""
-    n = membership.groupBy(key).agg(F.count_distinct(part).alias("_n"))
-    joined = entities.join(n, key, "left").select("type", F.coalesce("_n", F.lit(0)).alias("_n"))
-    return joined.groupBy("type").agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(name) for name, c in (("in_none", F.col("_n") == 0), ("in_one", F.col("_n") == 1), ("in_many", F.col("_n") > 1))])
+    return span_coverage(entities, membership.groupBy(key).agg(F.min(part).alias("least"), F.max(part).alias("most")), key)
+
+
+def span_coverage(entities: DataFrame, spans: DataFrame, key: str = "id") -> DataFrame:
+    """``coverage`` by the least and greatest part of each entity, ``spans(key, least, most)``, as of ``graph.spans``."""
+    joined = entities.join(spans, key, "left").select("type", "least", "most")
+    kinds = (("in_none", F.col("least").isNull()), ("in_one", F.col("least") == F.col("most")), ("in_many", F.col("least") < F.col("most")))
+    return joined.groupBy("type").agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(name) for name, c in kinds])
 
 
 def not_exactly_once(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries on tables that the given ones don't show: ties, repeated keys, and what a run leaves and writes."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 from refweave import catalog
-from refweave.operators import graph
+from refweave.operators import assign, graph
 
 
 def against_sql(spark, folder, name, **tables):
@@ -51,3 +53,19 @@ def test_narrowed_lists_are_never_spread_out(spark):
 
     found, size = shuffled(spark, run)
     assert found == 300 and size < 1_000_000
+
+
+def test_spans_tell_none_one_and_many(spark):
+    """Least and greatest part against plain closures, with cycles, on a random graph."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(50)] + [(3, None)], "src long, dst long")
+    seeds = spark.createDataFrame([(p, rng.randrange(40)) for p in range(8)], "part long, id long")
+    want = {}
+    for r in graph.forward_closure(edges.where("dst is not null"), seeds).collect():
+        want.setdefault(r.id, set()).add(r.part)
+    got = {r.id: (r.least, r.most) for r in graph.spans(edges, seeds).collect()}
+    assert got == {k: (min(v), max(v)) for k, v in want.items()}
+    entities = spark.range(45).select("id", F.lit("x").alias("type"))
+    by_spans = assign.span_coverage(entities, graph.spans(edges, seeds)).first()
+    ones = sum(len(v) == 1 for v in want.values())
+    assert (by_spans.in_none, by_spans.in_one, by_spans.in_many) == (45 - len(want), ones, len(want) - ones)
