@@ -8,37 +8,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..shared import cut, numbered
-from .graph import forward_closure
+from .graph import Keep, forward_closure
 
+#: References whose children are looked up at once, of records that nothing refers to.
+SLICE = 25_000_000
 
-def merkle(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+
+def _hash(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
+    """(id, text, n, hash, top): nodes with the number of their references that are ``done``, the hash over these, and their greatest level."""
+    found = edges.join(done.select(F.col("id").alias("dst"), "hash", "level"), "dst")
+    listed = found.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"), F.max("level").alias("top"), F.sort_array(F.collect_list(F.struct("pos", F.unhex("hash").alias("h")))).alias("c"))
+    children = F.array_join(F.transform("c", lambda x: F.lower(F.hex(x["h"]))), ",")
+    return nodes.join(listed, "id", "left").withColumn("hash", F.sha2(F.when(F.col("k").isNull(), F.col("text")).otherwise(F.concat_ws("|", "text", children)), 256))
+
+
+def merkle(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000, keep: Keep = cut) -> DataFrame:
     """(id, hash, level): SHA-256 of a node's own text and its children's hashes in order; ids don't enter.
 
-    ``nodes(id, text)``, ``edges(src, pos, dst)``. A node is hashed once, in the round after its last child. A cycle or a reference to a
-    missing node raises ValueError.
+    ``nodes(id, text)``, ``edges(src, pos, dst)``. A node is hashed once, in the round after its last child. What nothing refers to takes no
+    part in the rounds: when all else is done, it is hashed in one step, in slices of about ``SLICE`` references by hash of the id, so that
+    what is shuffled at once does not grow with the input. A cycle or a reference to a missing node raises ValueError.
     """
-    missing = edges.select(F.col("dst").alias("id")).join(nodes.select("id"), "id", "left_anti")
-    if not missing.isEmpty():
+    inner = keep(edges.select(F.col("dst").alias("id")).distinct())
+    if not inner.join(nodes.select("id"), "id", "left_anti").isEmpty():
         raise ValueError("reference to a missing record")
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    left = cut(nodes.select("id", "text").join(degree, "id", "left").select("id", "text", F.coalesce("n", F.lit(0)).alias("n")))
-    done = None
-    for level in range(max_rounds):
-        if done is None:
-            fresh = left.where("n = 0").select("id", F.sha2(F.col("text"), 256).alias("hash"))
-        else:
-            known = edges.join(done.select(F.col("id").alias("dst"), "hash"), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("c"))
-            ready = left.join(done.select("id"), "id", "left_anti").join(known, "id").where("k = n")
-            fresh = ready.select("id", F.sha2(F.concat_ws("|", "text", F.array_join(F.transform("c", lambda x: x["hash"]), ",")), 256).alias("hash"))
-        fresh = cut(fresh.withColumn("level", F.lit(level)))
+    below = keep(edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").select("src", "pos", "dst"))
+    degree = below.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    left = keep(nodes.select("id", "text").join(inner, "id", "left_semi").join(degree, "id", "left").select("id", "text", F.coalesce("n", F.lit(0)).alias("n")))
+    done = keep(left.where("n = 0").select("id", F.sha2(F.col("text"), 256).alias("hash"), F.lit(0).alias("level")))
+    for level in range(1, max_rounds):
+        waiting = left.where("n > 0").join(done.select("id"), "id", "left_anti")
+        asked = below.join(done.select(F.col("id").alias("src")), "src", "left_anti")
+        fresh = keep(_hash(waiting, asked, done).where("k = n").select("id", "hash", F.lit(level).alias("level")))
         if fresh.isEmpty():
             break
-        done = fresh if done is None else done.unionByName(fresh)
-    if done is None:
-        done = left.limit(0).select("id", F.lit("").alias("hash"), F.lit(0).alias("level"))
+        done = done.unionByName(fresh)
     if done.count() != left.count():
         raise ValueError("cycle of references")
-    return done
+    slices = edges.count() // SLICE + 1
+    out = done
+    for k in range(slices):
+        mine = lambda name: F.pmod(F.xxhash64(F.lit("slice"), name), F.lit(slices)) == k
+        tops = nodes.select("id", "text").where(mine("id")).join(inner, "id", "left_anti")
+        out = out.unionByName(keep(_hash(tops, edges.where(mine("src")), done).select("id", "hash", (F.coalesce("top", F.lit(-1)) + 1).alias("level"))))
+    return out
 
 
 def duplicate_groups(hashed: DataFrame, key: str = "hash", order: str = "id") -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries on tables that the given ones don't show: ties, repeated keys, and what a run leaves and writes."""
 
+import hashlib
+import os
 import random
 
 import duckdb
 from pyspark.sql import functions as F
 from refweave import catalog
-from refweave.operators import assign, graph
+from refweave.operators import assign, fingerprint, graph
+from refweave.shared import Scratch
 
 
 def against_sql(spark, folder, name, **tables):
@@ -69,3 +72,30 @@ def test_spans_tell_none_one_and_many(spark):
     by_spans = assign.span_coverage(entities, graph.spans(edges, seeds)).first()
     ones = sum(len(v) == 1 for v in want.values())
     assert (by_spans.in_none, by_spans.in_one, by_spans.in_many) == (45 - len(want), ones, len(want) - ones)
+
+
+def test_what_nothing_refers_to_is_hashed_in_slices(spark, tmp_path, monkeypatch):
+    """Each reference is looked up once, whatever the depth, and slices give the hashes of one step. Scratch folders go."""
+    monkeypatch.setattr(fingerprint, "SLICE", 100)
+    depth, tops = 5, 400
+    texts = [(k, str(k)) for k in range(depth)] + [(100 + k, str(k % 7)) for k in range(tops)]
+    pairs = [(k, 0, k - 1) for k in range(1, depth)] + [(100 + k, pos, (k + pos) % depth) for k in range(tops) for pos in range(depth)]
+    nodes, edges = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(pairs, "src long, pos int, dst long")
+    h, levels = {}, {}
+    for k, text in texts:
+        below = [dst for src, _, dst in pairs if src == k]
+        h[k] = hashlib.sha256((text + "|" + ",".join(h[x] for x in below) if below else text).encode()).hexdigest()
+        levels[k] = max((levels[x] for x in below), default=-1) + 1
+    with Scratch(spark) as scratch:
+        kept = []
+
+        def keep(df):
+            kept.append(scratch.keep(df))
+            return kept[-1]
+
+        hashed = fingerprint.merkle(nodes, edges, keep=keep)
+        assert {r.id: (r.hash, r.level) for r in hashed.collect()} == {k: (h[k], levels[k]) for k in h}
+        assert sum(x.columns == ["id", "hash", "level"] and x.where("id >= 100").count() > 0 for x in kept) == len(pairs) // 100 + 1
+        folder = scratch.path.removeprefix("file:")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
