@@ -81,16 +81,17 @@ def apply_plan(entities: DataFrame, refs: DataFrame, plan: DataFrame) -> tuple[D
     return kept, moved.select("src", "pos", F.coalesce("canonical", "dst").alias("dst"))
 
 
-def prove_plan(entities: DataFrame, refs: DataFrame, plan: DataFrame, kept: DataFrame, moved: DataFrame) -> DataFrame:
+def prove_plan(entities: DataFrame, refs: DataFrame, plan: DataFrame, kept: DataFrame, moved: DataFrame, keep: Keep = lambda df: df) -> DataFrame:
     """Rows that contradict the plan: none if every record is either kept or aliased to a kept one, and each kept record's references are the
-    original ones with aliases resolved. Columns: id, problem."""
+    original ones with aliases resolved. Columns: id, problem. ``keep`` writes each step, if given."""
     lost = entities.select("id").join(kept.select("id"), "id", "left_anti").join(plan.select("id"), "id", "left_anti").withColumn("problem", F.lit("lost"))
     dangling = plan.join(kept.select(F.col("id").alias("canonical")), "canonical", "left_anti").select("id").withColumn("problem", F.lit("alias to nothing"))
     to = plan.select(F.col("id").alias("dst"), "canonical")
     want = refs.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(to, "dst", "left").select("src", "pos", F.coalesce("canonical", "dst").alias("dst"))
     got = moved.select("src", "pos", "dst")
-    wrong = want.exceptAll(got).unionByName(got.exceptAll(want)).select(F.col("src").alias("id")).distinct().withColumn("problem", F.lit("references differ"))
-    return lost.unionByName(dangling).unionByName(wrong)
+    want, got = keep(want), keep(got)
+    wrong = keep(want.exceptAll(got)).unionByName(keep(got.exceptAll(want))).select(F.col("src").alias("id")).distinct().withColumn("problem", F.lit("references differ"))
+    return keep(lost).unionByName(keep(dangling)).unionByName(keep(wrong))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
