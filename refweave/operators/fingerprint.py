@@ -7,50 +7,104 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..shared import cut, numbered
+from ..shared import BROADCAST_ROWS, cut, numbered, sized
 from .graph import Keep, forward_closure
 
 #: References whose children are looked up at once, of records that nothing refers to.
 SLICE = 25_000_000
+#: Positions of references that get a column each; longer lists are spread over rows and gathered by key.
+COLUMNS = 8
 
 
-def _hash(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
-    """(id, text, n, hash, top): nodes with the number of their references that are ``done``, the hash over these, and their greatest level."""
-    found = edges.join(done.select(F.col("id").alias("dst"), "hash", "level"), "dst")
-    listed = found.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"), F.max("level").alias("top"), F.sort_array(F.collect_list(F.struct("pos", F.unhex("hash").alias("h")))).alias("c"))
-    children = F.array_join(F.transform("c", lambda x: F.lower(F.hex(x["h"]))), ",")
-    return nodes.join(listed, "id", "left").withColumn("hash", F.sha2(F.when(F.col("k").isNull(), F.col("text")).otherwise(F.concat_ws("|", "text", children)), 256))
+def _there(done: DataFrame, longest: int) -> dict[int, DataFrame]:
+    """Of ``done(id, hash, level, at)`` what is referred to at each of the first positions. What is broadcast comes last, when no shuffle has to
+    carry its hashes."""
+    there = {k: done.where(F.col("at").bitwiseAND(F.lit(1 << k)) != 0).select("id", "hash", "level") for k in range(min(longest, COLUMNS))}
+    rows = {k: x.count() for k, x in there.items()}
+    return {k: F.broadcast(there[k]) if rows[k] <= BROADCAST_ROWS else there[k] for k in sorted(there, key=lambda k: -rows[k])}
+
+
+def _by_column(records: DataFrame, there: dict[int, DataFrame]) -> DataFrame:
+    """``records`` of no more references than ``there`` has, with (below, top): the children's hashes in order, and their greatest level. A join
+    for each position, so that nothing is gathered by key; where there is no reference, rows are dealt by id and find nothing."""
+    out = records.select("id", "text", "n", "at", *[F.get("refs", F.lit(k)).alias(f"_r{k}") for k in there])
+    for k, done in there.items():
+        found = done.select(F.col("id").alias("_id"), F.unhex("hash").alias(f"_h{k}"), F.col("level").alias(f"_l{k}"))
+        at = F.col(f"_r{k}")
+        out = out.join(found, (F.coalesce(at, F.xxhash64("id")) == F.col("_id")) & at.isNotNull(), "left").drop("_id", f"_r{k}")
+    return out.withColumn("below", F.concat_ws(",", *[F.lower(F.hex(f"_h{k}")) for k in sorted(there)])).withColumn("top", F.greatest(F.lit(-1), F.lit(-1), *[F.col(f"_l{k}") for k in there]))
+
+
+def _by_row(records: DataFrame, done: DataFrame) -> DataFrame:
+    """The same for lists of any length."""
+    found = records.select("id", F.posexplode("refs").alias("pos", "dst")).join(done.select(F.col("id").alias("dst"), "hash", "level"), "dst")
+    listed = found.groupBy("id").agg(F.max("level").alias("top"), F.sort_array(F.collect_list(F.struct("pos", F.unhex("hash").alias("h")))).alias("c"))
+    return records.join(listed, "id").withColumn("below", F.array_join(F.transform("c", lambda x: F.lower(F.hex(x["h"]))), ","))
+
+
+def _hash(records: DataFrame, done: DataFrame, there: dict[int, DataFrame], longest: int) -> DataFrame:
+    """(id, hash, level, at) of ``records(id, text, n, refs, at)`` with ``longest`` references at most, all in ``done`` and so in ``there``."""
+    found = [_by_column(records.where(F.col("n") <= len(there)), there)]
+    if longest > len(there):
+        found.append(_by_row(records.where(F.col("n") > len(there)), done))
+    text = F.when(F.col("n") == 0, F.col("text")).otherwise(F.concat_ws("|", "text", "below"))
+    return _union([x.select("id", F.sha2(text, 256).alias("hash"), (F.col("top") + 1).alias("level"), "at") for x in found])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def merkle(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000, keep: Keep = cut) -> DataFrame:
-    """(id, hash, level): SHA-256 of a node's own text and its children's hashes in order; ids don't enter.
+    """``merkle_records`` of ``nodes(id, text)`` with ``edges(src, pos, dst)``."""
+    listed = edges.groupBy(F.col("src").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("refs"))
+    return merkle_records(nodes.select("id", "text").join(listed, "id", "left"), max_rounds, keep)
 
-    ``nodes(id, text)``, ``edges(src, pos, dst)``. A node is hashed once, in the round after its last child. What nothing refers to takes no
-    part in the rounds: when all else is done, it is hashed in one step, in slices of about ``SLICE`` references by hash of the id, so that
-    what is shuffled at once does not grow with the input. A cycle or a reference to a missing node raises ValueError.
+
+def merkle_records(records: DataFrame, max_rounds: int = 10_000, keep: Keep = cut) -> DataFrame:
+    """(id, hash, level) of ``records(id, text, refs)``: SHA-256 of a record's own text and its children's hashes in order; ids don't enter.
+
+    A record is hashed once, in the round after its last child; rounds count, by ids alone, which children the last one has done. What nothing
+    refers to takes no part in them: when all else is done, it is hashed in one step, in slices of about ``SLICE`` references by hash of the
+    id, so that what is shuffled at once does not grow with the input. A cycle or a reference to a missing record raises ValueError.
     """
-    inner = keep(edges.select(F.col("dst").alias("id")).distinct())
-    if not inner.join(nodes.select("id"), "id", "left_anti").isEmpty():
+    where = F.expr(f"shiftleft(1L, least(pos, {COLUMNS}))")
+    inner = keep(records.select(F.posexplode("refs").alias("pos", "id")).groupBy("id").agg(F.bit_or(where).alias("at")))
+    n = F.greatest(F.coalesce(F.size("refs"), F.lit(0)), F.lit(0))
+    told = keep(records.join(inner, "id", "left").select("id", "text", n.alias("n"), "refs", "at"))
+    left = keep(told.where("at is not null"))
+    if not inner.join(left.select("id"), "id", "left_anti").isEmpty():
         raise ValueError("reference to a missing record")
-    below = keep(edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").select("src", "pos", "dst"))
-    degree = below.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    left = keep(nodes.select("id", "text").join(inner, "id", "left_semi").join(degree, "id", "left").select("id", "text", F.coalesce("n", F.lit(0)).alias("n")))
-    done = keep(left.where("n = 0").select("id", F.sha2(F.col("text"), 256).alias("hash"), F.lit(0).alias("level")))
+    below = keep(left.select(F.col("id").alias("src"), "n", F.explode("refs").alias("dst")))
+    newest = keep(left.where("n = 0").select("id", F.sha2(F.col("text"), 256).alias("hash"), F.lit(0).alias("level"), "at"))
+    levels, part, waiting = [newest], None, left.where("n > 0").count()
     for level in range(1, max_rounds):
-        waiting = left.where("n > 0").join(done.select("id"), "id", "left_anti")
-        asked = below.join(done.select(F.col("id").alias("src")), "src", "left_anti")
-        fresh = keep(_hash(waiting, asked, done).where("k = n").select("id", "hash", F.lit(level).alias("level")))
-        if fresh.isEmpty():
+        if not waiting:
+            break
+        met = below.join(sized(newest.select(F.col("id").alias("dst"))), "dst").groupBy(F.col("src").alias("id"), "n").agg(F.count("*").alias("k"))
+        met = keep(met if part is None else met.unionByName(part).groupBy("id", "n").agg(F.sum("k").alias("k")))
+        part, whole = met.where("k < n"), met.where("k = n")
+        fresh, longest = whole.agg(F.count("*"), F.max("n")).first()
+        if not fresh:
             break
-        done = done.unionByName(fresh)
-    if done.count() != left.count():
+        done = _union(levels)
+        newest = keep(_hash(left.join(whole.select("id"), "id", "left_semi"), done, _there(done, longest), longest))
+        waiting -= fresh
+        levels.append(newest)
+        if len(levels) > 16:  # long chains: one frame again
+            levels = [keep(_union(levels))]
+    if waiting:
         raise ValueError("cycle of references")
-    slices = edges.count() // SLICE + 1
-    out = done
+    done = _union(levels)
+    longest, references = told.where("at is null").agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    there, slices = _there(done, longest), references // SLICE + 1
+    out = done.select("id", "hash", "level")
     for k in range(slices):
-        mine = lambda name: F.pmod(F.xxhash64(F.lit("slice"), name), F.lit(slices)) == k
-        tops = nodes.select("id", "text").where(mine("id")).join(inner, "id", "left_anti")
-        out = out.unionByName(keep(_hash(tops, edges.where(mine("src")), done).select("id", "hash", (F.coalesce("top", F.lit(-1)) + 1).alias("level"))))
+        mine = F.pmod(F.xxhash64(F.lit("slice"), "id"), F.lit(slices)) == k
+        out = out.unionByName(keep(_hash(told.where(F.col("at").isNull() & mine), done, there, longest).drop("at")))
     return out
 
 

@@ -37,23 +37,32 @@ def cut(df: DataFrame) -> DataFrame:
 class Scratch:
     """A folder within the shared one for frames that would be many times as large as checkpoints: ``keep`` writes them by column, compressed.
     Shuffle files go as each step ends, and the folder as the block ends, so what the block returns must be ``cut`` in it. Any step may run
-    again, as it starts from what is written."""
+    again, as it starts from what is written.
+
+    Spark goes by the size of files when it broadcasts what it reads, and a file of a few MB can hold millions of rows, which the driver has to
+    gather. With ``by_rows`` it broadcasts only what is hinted, and what a shuffle has measured as rows."""
 
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    BROADCAST, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, by_rows: bool = False):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.put = {self.CLEANUP: "true"}
+        if by_rows:
+            self.put |= {self.MEASURED: spark.conf.get(self.MEASURED, None) or spark.conf.get(self.BROADCAST), self.BROADCAST: "-1"}
 
     def __enter__(self) -> Scratch:
-        self.before = self.spark.conf.get(self.CLEANUP, None)
-        self.spark.conf.set(self.CLEANUP, "true")
+        self.before = {key: self.spark.conf.get(key, None) for key in self.put}
+        for key, value in self.put.items():
+            self.spark.conf.set(key, value)
         return self
 
     def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(self.CLEANUP)
-        else:
-            self.spark.conf.set(self.CLEANUP, self.before)
+        for key, value in self.before.items():
+            if value is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, value)
         self._delete(self.path)
 
     def _delete(self, path: str) -> None:

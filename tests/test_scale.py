@@ -99,3 +99,33 @@ def test_what_nothing_refers_to_is_hashed_in_slices(spark, tmp_path, monkeypatch
         folder = scratch.path.removeprefix("file:")
         assert os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    """200,000 rows in a file of well under 10 MB that takes more than that as rows: a scratch folder by rows joins it by shuffle, what a
+    shuffle has measured as small may still be broadcast, and the session's settings come back."""
+    conf = Scratch.BROADCAST
+    before = spark.conf.get(conf)
+    with Scratch(spark, by_rows=True) as scratch:
+        many = scratch.keep(spark.range(0, 200_000, 1, 4).select("id", F.sha2(F.lit("x"), 256).alias("hash")))
+        edges = scratch.keep(spark.range(0, 400_000, 1, 4).select(F.col("id").alias("src"), (F.col("id") % 200_000).alias("id")))
+        joined = edges.join(many, "id")
+        assert joined.count() == 400_000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and spark.conf.get(Scratch.MEASURED) == before
+    assert spark.conf.get(conf) == before and spark.conf.get(Scratch.MEASURED, None) is None
+
+
+def test_lists_of_any_length_and_children_of_many_levels(spark, monkeypatch):
+    """Lists by column and by row in one graph, a child twice, children that are done in different rounds, and no list at all."""
+    rng = random.Random(9)
+    monkeypatch.setattr(fingerprint, "COLUMNS", 3)
+    refs = {k: [rng.randrange(k) for _ in range(rng.randrange(6))] if k > 5 else [] for k in range(24)} | {24: [23]}
+    h, levels = {}, {}
+    for k in sorted(refs):
+        h[k] = hashlib.sha256(("|".join([f"t{k % 3}", ",".join(h[x] for x in refs[k])]) if refs[k] else f"t{k % 3}").encode()).hexdigest()
+        levels[k] = max((levels[x] for x in refs[k]), default=-1) + 1
+    records = spark.createDataFrame([(k, f"t{k % 3}", v or None if k % 2 else v) for k, v in refs.items()], "id long, text string, refs array<long>")
+    with Scratch(spark, by_rows=True) as scratch:
+        got = {r.id: (r.hash, r.level) for r in fingerprint.merkle_records(records, keep=scratch.keep).collect()}
+    assert got == {k: (h[k], levels[k]) for k in refs}
